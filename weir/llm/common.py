@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -71,3 +72,9 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, spread: Column) -> DataF
     table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     return rows.join(table, rows[key].eqNullSafe(table["_key"]) & (rows["_salt"] == table["_salt"])).drop(table["_salt"]).drop("_key", "_salt")
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished phases now, not at the driver's next collection of garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
