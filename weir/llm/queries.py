@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "syncmers", "sharding", "host_rules")
+MODULES = ("mixing", "syncmers", "sharding", "substring_dedup", "simhash", "host_rules", "toxicity")
 
 
 def queries() -> dict:
