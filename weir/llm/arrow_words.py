@@ -66,15 +66,23 @@ def pieces(texts: pa.Array | pa.ChunkedArray, size: int = PIECE) -> Iterator[tup
 
 
 class Words:
-    """The words of some texts: starts and ends in the bytes, first[i] the number of words before text i."""
+    """The words of some texts: starts and ends in the bytes, first[i] the number of words before text i.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        space = _SPACE[data]
+    With lines, the lines that hold a word in place of the words.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lines: bool = False):
+        space = data == 0x0A if lines else _SPACE[data]
         before, after = np.ones(len(data), bool), np.ones(len(data), bool)
         before[1:], after[:-1] = space[:-1], space[1:]
         before[offsets[:-1][offsets[:-1] < len(data)]] = True
         after[offsets[1:][offsets[1:] > 0] - 1] = True
         self.data, self.starts, self.ends = data, np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        if lines:
+            filled = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(~_SPACE[data], out=filled[1:])
+            some = filled[self.ends] > filled[self.starts]
+            self.starts, self.ends = self.starts[some], self.ends[some]
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
 

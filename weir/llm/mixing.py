@@ -88,25 +88,46 @@ def _threshold(docs: DataFrame, plan: DataFrame, last: bool) -> DataFrame:
     return steps.select("source", "source_size", "target", "copies", (F.col("left") - reached).alias("left"), F.concat("rounds", F.array(step)).alias("rounds"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document of docs.
+def _hash() -> Column:
+    return F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
 
-    docs needs doc_id, text and source. taken is copies times size; the copies of a document differ
-    from its source's mean by less than one, and never exceed max_repeats. Which documents get the
-    odd copy depends on their doc_id and text alone, so reruns agree.
-    """
-    one = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), one.alias("h")), "mix-sized")
+
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, source, size, h) and the plan (source, source_size, target, copies, rounds), both written."""
+    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash().alias("h")), "mix-sized")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     empty = F.array().cast("array<struct<left:double,stop:string,edge:string>>")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats).select("source", "source_size", "target", whole.alias("copies"))
     plan = cut(plan.select("*", (F.col("target") - F.col("copies") * F.col("source_size")).alias("left"), empty.alias("rounds")), "mix-plan")
     for k in range(rounds):
         plan = cut(_threshold(sized, plan, k == rounds - 1), "mix-plan")
-    copies = F.col("copies") + ((F.col("size") > 0) & taken_in(F.col("rounds"), F.col("size"), F.col("h"))).cast("long")
+    return sized, plan
+
+
+def _copies(size: Column, h: Column) -> Column:
+    return F.col("copies") + ((size > 0) & taken_in(F.col("rounds"), size, h)).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document of docs.
+
+    docs needs doc_id, text and source. taken is copies times size; the copies of a document differ
+    from its source's mean by less than one, and never exceed max_repeats. Which documents get the
+    odd copy depends on their doc_id and text alone, so reruns agree.
+    """
+    sized, plan = plan_mix(docs, weights, max_repeats, rounds)
+    copies = _copies(F.col("size"), F.col("h"))
     return lookup(sized, plan, "source", F.col("h")).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it; texts are not shuffled."""
+    plan = plan_mix(docs, weights, max_repeats, rounds)[1].select("source", "copies", "rounds")
+    row = docs.select("source", F.struct("*").alias("row"), n_words(F.col("text")).alias("size"), _hash().alias("h"))
+    taken = lookup(row, plan, "source", F.col("h")).withColumn("n", _copies(F.col("size"), F.col("h")).cast("int"))
+    return taken.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select("row.*")
+
+
 def _oracle(rounds: int = ROUNDS) -> str:
     weights = "[" + ", ".join(f"{w}.0::DOUBLE" for w in WEIGHTS) + "]"
     steps = ""

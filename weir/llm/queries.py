@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "syncmers", "sharding", "substring_dedup", "simhash", "host_rules", "toxicity")
+MODULES = ("mixing", "syncmers", "sharding", "line_dedup", "substring_dedup", "simhash", "host_rules", "toxicity", "token_files", "byte_bpe")
 
 
 def queries() -> dict:

@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.llm import arrow_words as A
@@ -214,6 +214,18 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return prints.join(named.join(names, "group").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The rows of docs, all columns, less near-duplicates: of each component the document of least doc_id stays, once.
+
+    Rows with a null doc_id all stay, as nothing tells them apart.
+    """
+    stay = cut(near_duplicates(docs, budget).filter("doc_id = component_id").select(F.col("doc_id").alias("_weir_id")).distinct(), "simhash-stay")
+    kept = docs.join(stay, docs["doc_id"] == stay["_weir_id"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
+    kept = kept.withColumn("_weir_row", first).filter("_weir_row = 1").drop("_weir_row")
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
 def op6_simhash_tries(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 

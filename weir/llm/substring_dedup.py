@@ -197,12 +197,16 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     places = cut(placed.groupBy("doc_id").agg(F.collect_set("at").alias("places")), "suffix-places")
     free(docs.sparkSession)
     suffixes = texts.join(places, "doc_id").select("text", "doc_id", "places").mapInArrow(_suffixes(min_words, tuple(often)), "part int, a long, b long, doc_id long, start int, salted boolean")
-    leaves = suffixes.repartition("part").sortWithinPartitions("a", "b", "doc_id", "start")
-    repeats = cut(leaves.mapInArrow(_repeats, "doc_id long, start int, a long, b long"), "suffix-repeats")
-    free(docs.sparkSession)
+    return later_runs(suffixes, min_words)
+
+
+def later_runs(leaves: DataFrame, length: int) -> DataFrame:
+    """(doc_id, starts, ends) from leaves (part, a, b, doc_id, start, salted): runs of what is covered by leaves of `length` items whose key (a, b) has an earlier (doc_id, start)."""
+    repeats = cut(leaves.repartition("part").sortWithinPartitions("a", "b", "doc_id", "start").mapInArrow(_repeats, "doc_id long, start int, a long, b long"), "later-repeats")
+    free(leaves.sparkSession)
     firsts = repeats.filter("a is not null").withColumn("_first", F.min(F.struct("doc_id", "start")).over(Window.partitionBy("a", "b"))).filter("struct(doc_id, start) != _first")
     covered = repeats.filter("a is null").select("doc_id", "start").unionAll(firsts.select("doc_id", "start"))
-    return covered.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_spans(min_words), "doc_id long, starts array<int>, ends array<int>")
+    return covered.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_spans(length), "doc_id long, starts array<int>, ends array<int>")
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -182,8 +182,8 @@ def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w / scale
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text), learned from labels (doc_id, toxic)."""
+def scorer(docs: DataFrame, labels: DataFrame) -> Callable[[pa.Array], np.ndarray]:
+    """Learns from docs (doc_id, text) and labels (doc_id, toxic); the result gives the scores of an Arrow column of texts."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     usable = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold(F.col("doc_id")) != 0)
@@ -193,8 +193,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     once = texts.join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text"), F.length("text"), fold(F.col("doc_id")) == 1).agg(F.min(F.struct("doc_id", "toxic")).alias("one")).select("one.*")
     once = cut(once, "toxicity-once")
     learning = texts.join(F.broadcast(once.filter(fold(F.col("doc_id")) != 1)), "doc_id").select("text", "toxic")
-    counts = learning.mapInArrow(_class_grams, "gram long, toxic int, n long").groupBy("gram", "toxic").agg(F.sum("n").alias("n"))
-    counts = cut(counts, "toxicity-counts")
+    counts = cut(learning.mapInArrow(_class_grams, "gram long, toxic int, n long").groupBy("gram", "toxic").agg(F.sum("n").alias("n")), "toxicity-counts")
     rows = cut(class_models(counts, shared_backoff(texts)), "toxicity-model")
     free(spark)
     tables = [rows.filter(F.col("kind") == k).select("key", "value").orderBy("key").toArrow() for k in (0, 1)]
@@ -207,21 +206,39 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     seen = texts.join(F.broadcast(once.filter(fold(F.col("doc_id")) == 1)), "doc_id").select("text", "toxic").mapInArrow(measured, "toxic int, total double, n long").toArrow()
     y = seen.column("toxic").to_numpy().astype(float)
-    both = len(np.unique(y)) == 2
-    weights = fitted(features(seen.column("total").to_numpy(), seen.column("n").to_numpy()), y) if both else None
+    weights = fitted(features(seen.column("total").to_numpy(), seen.column("n").to_numpy()), y) if len(np.unique(y)) == 2 else None
+
+    def scores(text: pa.Array) -> np.ndarray:
+        if weights is None:
+            return np.zeros(len(text))
+        return 1 / (1 + np.exp(-np.clip(features(*evidence(model.value, text)) @ weights, -30, 30)))
+
+    return scores
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text), learned from labels (doc_id, toxic)."""
+    scores = scorer(docs, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if weights is None:
-                score = np.zeros(batch.num_rows)
-            else:
-                score = 1 / (1 + np.exp(-np.clip(features(*evidence(model.value, batch.column(1))) @ weights, -30, 30)))
-            yield pa.record_batch([batch.column(0), score], ["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), scores(batch.column(1))], ["doc_id", "score"])
 
-    rows = texts.mapInArrow(scored, "doc_id long, score double")
+    rows = docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that score under 0.5."""
+    scores = scorer(docs, labels)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(batch.schema.get_field_index("text"))) < 0.5))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op8_kneser_ney(spark, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
