@@ -50,7 +50,7 @@ def _fingerprints(window: int):
                 a, b = A.run_hashes(h, starts, window, A.WINDOW_A), A.run_hashes(lines.hashes(A.BASE_B), starts, window, A.WINDOW_B)
                 doc = np.searchsorted(lines.first, starts, "right") - 1
                 new = np.append(True, least[1:] != least[:-1])
-                yield pa.record_batch([h[least].view(np.int64), new.astype(np.int8), a.view(np.int64), b.view(np.int64), ids[row + doc].astype(np.int64), (starts - lines.first[doc]).astype(np.int32)], ["fingerprint", "chosen", "a", "b", "doc_id", "start"])
+                yield pa.record_batch([h[least].view(np.int64), new.astype(np.int8), a.view(np.int64), b.astype(np.uint32).view(np.int32), ids[row + doc].astype(np.int64), (starts - lines.first[doc]).astype(np.int32)], ["fingerprint", "chosen", "a", "b", "doc_id", "start"])
 
     return fingerprints
 
@@ -58,7 +58,7 @@ def _fingerprints(window: int):
 def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, starts, ends): runs [start, end) of each document's worded lines that stand in a later repeat."""
     texts = docs.select("text", "doc_id").filter("doc_id is not null and text is not null")
-    runs = cut(texts.mapInArrow(_fingerprints(window), "fingerprint long, chosen byte, a long, b long, doc_id long, start int"), "line-runs")
+    runs = cut(texts.mapInArrow(_fingerprints(window), "fingerprint long, chosen byte, a long, b int, doc_id long, start int"), "line-runs")
     places = runs.groupBy("fingerprint").agg(F.sum("chosen").alias("n")).filter("n > 1")
     salted = F.col("n") > FREQUENT
     part = F.xxhash64("a", F.when(salted, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)))

@@ -11,7 +11,8 @@ Most suffixes have no equal and need not be dealt at all. Every window of MIN_WO
 anchor, the least hash of its ANCHOR-word runs; equal windows have equal anchors, so only windows
 whose anchor occurs twice or more in the corpus are candidates. Anchors are a sixth of the words.
 
-Windows are compared by 128-bit hashes of their words.
+Windows are compared by 96-bit hashes of their words: among 10**13 windows one false match is expected
+once in some hundred corpora.
 
 Nulls and odd rows: a null text has no words; texts under MIN_WORDS words are kept whole; equal rows
 with one doc_id do not remove each other's words (rows with one doc_id should be copies, as spans are
@@ -39,7 +40,7 @@ PREFIXES = (5, 10)
 FREQUENT = 100_000
 SALTS = 64
 #: One document in so many, by its text's hash, is looked at to plan the prefixes; results do not depend on it.
-PLAN_SHARE = 16
+PLAN_SHARE = 64
 
 
 def least_run(g: np.ndarray, width: int) -> np.ndarray:
@@ -132,7 +133,7 @@ def _suffixes(min_words: int, frequent: tuple[np.ndarray, ...]):
                     longer = A.run_hashes(h, starts, PREFIXES[1], A.WINDOW_A)
                     salted = deeper & np.isin(longer, frequent[1])
                     part = np.where(salted, A.mixed(a + (A.mixed(ids[row + doc].astype(np.uint64)) % np.uint64(SALTS))), np.where(deeper, longer, part))
-                yield pa.record_batch([(part >> np.uint64(33)).astype(np.int32), a.view(np.int64), b.view(np.int64), ids[row + doc].astype(np.int64), start.astype(np.int32), salted], ["part", "a", "b", "doc_id", "start", "salted"])
+                yield pa.record_batch([(part >> np.uint64(48)).astype(np.int32), a.view(np.int64), b.astype(np.uint32).view(np.int32), ids[row + doc].astype(np.int64), start.astype(np.int32), salted], ["part", "a", "b", "doc_id", "start", "salted"])
 
     return suffixes
 
@@ -196,13 +197,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     placed = texts.mapInArrow(_place_anchors(min_words), "hash long, doc_id long, at int").join(counted.filter("kind = 0").select("hash"), "hash", "left_semi")
     places = cut(placed.groupBy("doc_id").agg(F.collect_set("at").alias("places")), "suffix-places")
     free(docs.sparkSession)
-    suffixes = texts.join(places, "doc_id").select("text", "doc_id", "places").mapInArrow(_suffixes(min_words, tuple(often)), "part int, a long, b long, doc_id long, start int, salted boolean")
+    suffixes = texts.join(places, "doc_id").select("text", "doc_id", "places").mapInArrow(_suffixes(min_words, tuple(often)), "part int, a long, b int, doc_id long, start int, salted boolean")
     return later_runs(suffixes, min_words)
 
 
 def later_runs(leaves: DataFrame, length: int) -> DataFrame:
     """(doc_id, starts, ends) from leaves (part, a, b, doc_id, start, salted): runs of what is covered by leaves of `length` items whose key (a, b) has an earlier (doc_id, start)."""
-    repeats = cut(leaves.repartition("part").sortWithinPartitions("a", "b", "doc_id", "start").mapInArrow(_repeats, "doc_id long, start int, a long, b long"), "later-repeats")
+    repeats = cut(leaves.repartition("part").sortWithinPartitions("a", "b", "doc_id", "start").mapInArrow(_repeats, "doc_id long, start int, a long, b int"), "later-repeats")
     free(leaves.sparkSession)
     firsts = repeats.filter("a is not null").withColumn("_first", F.min(F.struct("doc_id", "start")).over(Window.partitionBy("a", "b"))).filter("struct(doc_id, start) != _first")
     covered = repeats.filter("a is null").select("doc_id", "start").unionAll(firsts.select("doc_id", "start"))
