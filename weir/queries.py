@@ -57,7 +57,7 @@ def out(frame: Frame, nodes: str, *columns: str) -> DataFrame:
 
 
 def _filter(frame: Frame, condition: str, action: str, *columns: str) -> DataFrame:
-    return out(frame, f"  - {{id: f, type: filter, action: {action}, condition: {condition!r}}}", *columns)
+    return out(frame, f"  - {{id: f, type: filter, action: {action}, condition: {json.dumps(condition)}}}", *columns)
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'error' AND value >= 50")
