@@ -35,7 +35,7 @@ BLOCK = 128
 FITS = 0.9
 #: Ids after which a page ends, at the next document's end.
 PAGE = 1 << 16
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 
 _encoders: dict[str, Encoder] = {}
 
