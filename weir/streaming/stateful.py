@@ -14,6 +14,11 @@ from weir.operators.sample import Sample
 from weir.plans.frames import Frame
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of one batch by time and id. The last three columns are time, id and row, whatever they are called."""
+    return pd.concat(list(rows)).iloc[:, -3:].set_axis(["_time", "_id", "_row"], axis=1).sort_values(["_time", "_id"], kind="stable")
+
+
 class _Holders(StatefulProcessor):
     """Keeps the holder (time, id) of a key; records of a batch are judged in order of time and id."""
 
@@ -27,7 +32,7 @@ class _Holders(StatefulProcessor):
         found = self.holder.get()
         holder = (found[0], found[1]) if found is not None else None
         before = holder
-        batch = pd.concat(list(rows)).sort_values(["_time", "_id"], kind="stable")
+        batch = _in_order(rows)
         kept = []
         for time, ident in zip(batch["_time"], batch["_id"], strict=True):
             passed, holder = judge(holder, int(time), int(ident), self.window)
@@ -52,7 +57,7 @@ class _Counter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         found = self.count.get()
         count = found[0] if found is not None else 0
-        batch = pd.concat(list(rows)).sort_values(["_time", "_id"], kind="stable")
+        batch = _in_order(rows)
         kept = [(count + k) % self.n == 0 for k in range(len(batch))]
         self.count.update((count + len(batch),))
         yield batch[kept][["_row"]]
