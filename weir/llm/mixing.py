@@ -5,7 +5,8 @@ is filled by the documents whose hash lies under a threshold. The threshold is f
 sorting the documents: words are summed by source and hash bucket, the bucket in which the
 budget runs out is the only one that is looked into more closely, and documents are then
 filtered. What one document too large leaves of a budget is filled in further, nested rounds
-by documents that fit into it.
+by documents that fit into it: first by ones that have no odd copy yet, in the last rounds by any
+that may be repeated once more.
 
 Nulls and odd rows: a null text has size 0 and is never taken; a null source is a source of its
 own, last in order; rows alike in doc_id and text share a hash and are taken together. An empty
@@ -21,7 +22,8 @@ from weir.llm.common import cut, lookup, n_words
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-ROUNDS = 4
+#: Rounds of odd copies, and of these the last that may give a document another one.
+ROUNDS, AGAIN = 5, 2
 #: Hexadecimal digits of the hash that make a bucket: 4,096 buckets a source.
 DIGITS = 3
 
@@ -52,15 +54,21 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats:
     )
 
 
-def taken_in(rounds: Column, size: Column, h: Column) -> Column:
-    """Whether any round takes a document: it fits what was left then, and its hash is under that round's stop."""
-    return F.exists(rounds, lambda r: (size <= r["left"]) & (r["stop"].isNull() | (h < r["stop"]) | F.coalesce(h == r["edge"], F.lit(False))))
+def odd_copies(rounds: Column, size: Column, h: Column, copies: Column, max_repeats: int) -> Column:
+    """How many rounds take a document: it fits what was left then, its hash is under that round's stop, and it may be taken once more."""
 
+    def one(n: Column, r: Column) -> Column:
+        fits = (size > 0) & (size <= r["left"]) & (r["stop"].isNull() | (h < r["stop"]) | F.coalesce(h == r["edge"], F.lit(False)))
+        return n + (fits & ((n == 0) | r["again"]) & (copies + n < max_repeats)).cast("int")
 
-def _threshold(docs: DataFrame, plan: DataFrame, last: bool) -> DataFrame:
+    return F.aggregate(rounds, F.lit(0), one)
+
+
+def _threshold(docs: DataFrame, plan: DataFrame, max_repeats: int, again: bool, last: bool) -> DataFrame:
     """plan with one more round: the hash at which each source's remaining budget runs out."""
     left = lookup(docs.filter("size > 0"), plan, "source", F.col("h")).filter(F.col("size") <= F.col("left"))
-    left = left.filter(~taken_in(F.col("rounds"), F.col("size"), F.col("h"))).select("source", "left", "size", "h", F.substring("h", 1, DIGITS).alias("bucket"))
+    had = odd_copies(F.col("rounds"), F.col("size"), F.col("h"), F.col("copies"), max_repeats)
+    left = left.filter(F.col("copies") + had < max_repeats if again else had == 0).select("source", "left", "size", "h", F.substring("h", 1, DIGITS).alias("bucket"))
     boundary = (
         left.groupBy("source", "left", "bucket")
         .agg(F.sum("size").alias("size"))
@@ -84,7 +92,7 @@ def _threshold(docs: DataFrame, plan: DataFrame, last: bool) -> DataFrame:
     steps = plan.join(b, plan["source"].eqNullSafe(b["_b"]), "left").join(r, plan["source"].eqNullSafe(r["_r"]), "left")
     reached = F.coalesce("reached", "below", F.lit(0))
     edge = F.when((F.col("after") - F.col("left")) < (F.col("left") - reached), F.col("stop")) if last else F.lit(None).cast("string")
-    step = F.struct(F.col("left").alias("left"), F.col("stop").alias("stop"), edge.alias("edge"))
+    step = F.struct(F.col("left").alias("left"), F.col("stop").alias("stop"), edge.alias("edge"), F.lit(again).alias("again"))
     return steps.select("source", "source_size", "target", "copies", (F.col("left") - reached).alias("left"), F.concat("rounds", F.array(step)).alias("rounds"))
 
 
@@ -96,35 +104,35 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     """The documents (doc_id, source, size, h) and the plan (source, source_size, target, copies, rounds), both written."""
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash().alias("h")), "mix-sized")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    empty = F.array().cast("array<struct<left:double,stop:string,edge:string>>")
+    empty = F.array().cast("array<struct<left:double,stop:string,edge:string,again:boolean>>")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats).select("source", "source_size", "target", whole.alias("copies"))
     plan = cut(plan.select("*", (F.col("target") - F.col("copies") * F.col("source_size")).alias("left"), empty.alias("rounds")), "mix-plan")
     for k in range(rounds):
-        plan = cut(_threshold(sized, plan, k == rounds - 1), "mix-plan")
+        plan = cut(_threshold(sized, plan, max_repeats, k >= rounds - AGAIN, k == rounds - 1), "mix-plan")
     return sized, plan
 
 
-def _copies(size: Column, h: Column) -> Column:
-    return F.col("copies") + ((size > 0) & taken_in(F.col("rounds"), size, h)).cast("long")
+def _copies(size: Column, h: Column, max_repeats: int) -> Column:
+    return F.col("copies") + odd_copies(F.col("rounds"), size, h, F.col("copies"), max_repeats).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document of docs.
 
     docs needs doc_id, text and source. taken is copies times size; the copies of a document differ
-    from its source's mean by less than one, and never exceed max_repeats. Which documents get the
+    from its source's mean by less than one, but where large documents leave gaps, and never exceed max_repeats. Which documents get the
     odd copy depends on their doc_id and text alone, so reruns agree.
     """
     sized, plan = plan_mix(docs, weights, max_repeats, rounds)
-    copies = _copies(F.col("size"), F.col("h"))
-    return lookup(sized, plan, "source", F.col("h")).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    taken = lookup(sized, plan, "source", F.col("h")).withColumn("copies", _copies(F.col("size"), F.col("h"), max_repeats))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, rounds: int = ROUNDS) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it; texts are not shuffled."""
     plan = plan_mix(docs, weights, max_repeats, rounds)[1].select("source", "copies", "rounds")
     row = docs.select("source", F.struct("*").alias("row"), n_words(F.col("text")).alias("size"), _hash().alias("h"))
-    taken = lookup(row, plan, "source", F.col("h")).withColumn("n", _copies(F.col("size"), F.col("h")).cast("int"))
+    taken = lookup(row, plan, "source", F.col("h")).withColumn("n", _copies(F.col("size"), F.col("h"), max_repeats).cast("int"))
     return taken.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select("row.*")
 
 
@@ -133,14 +141,15 @@ def _oracle(rounds: int = ROUNDS) -> str:
     steps = ""
     for k in range(1, rounds + 1):
         closest = "CASE WHEN min(upto) FILTER (upto > l) - any_value(l) < any_value(l) - coalesce(max(upto) FILTER (upto <= l), 0) THEN min(h) FILTER (upto > l) END" if k == rounds else "NULL::VARCHAR"
+        may = f"copies + took < {MAX_REPEATS}" + ("" if k > rounds - AGAIN else " AND took = 0")
         steps += f""",
-c{k} AS (SELECT t.*, p.l, sum(size) OVER (PARTITION BY t.source ORDER BY h) upto FROM t{k - 1} t JOIN p{k - 1} p ON t.source IS NOT DISTINCT FROM p.source WHERE NOT took AND size > 0 AND size <= p.l),
+c{k} AS (SELECT t.*, p.l, sum(size) OVER (PARTITION BY t.source ORDER BY h) upto FROM t{k - 1} t JOIN p{k - 1} p ON t.source IS NOT DISTINCT FROM p.source WHERE {may} AND size > 0 AND size <= p.l),
 r{k} AS (SELECT source, min(h) FILTER (upto > l) stop, {closest} edge, max(upto) FILTER (upto <= l) reached FROM c{k} GROUP BY source),
-p{k} AS (SELECT p.source, p.l - coalesce(r.reached, 0) l FROM p{k - 1} p LEFT JOIN r{k} r ON p.source IS NOT DISTINCT FROM r.source),
-t{k} AS (SELECT t.doc_id, t.source, t.size, t.h, t.took OR (size > 0 AND size <= p.l AND (r.stop IS NULL OR h < r.stop OR coalesce(h = r.edge, false))) took FROM t{k - 1} t JOIN p{k - 1} p ON t.source IS NOT DISTINCT FROM p.source LEFT JOIN r{k} r ON t.source IS NOT DISTINCT FROM r.source)"""
+p{k} AS (SELECT p.source, p.l - coalesce(r.reached, 0) l, copies FROM p{k - 1} p LEFT JOIN r{k} r ON p.source IS NOT DISTINCT FROM r.source),
+t{k} AS (SELECT t.doc_id, t.source, t.size, t.h, took + (size > 0 AND {may} AND size <= p.l AND (r.stop IS NULL OR h < r.stop OR coalesce(h = r.edge, false)))::INT took FROM t{k - 1} t JOIN p{k - 1} p ON t.source IS NOT DISTINCT FROM p.source LEFT JOIN r{k} r ON t.source IS NOT DISTINCT FROM r.source)"""
     return f"""
 WITH t0 AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT size,
-  md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) h, false took FROM documents),
+  md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) h, 0 took FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT source_size FROM t0 GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 rank FROM s0),
 s2 AS (SELECT *, {weights}[(rank % {len(WEIGHTS)} + 1)::INT] weight, source_size * {float(MAX_REPEATS)}::DOUBLE lim FROM s1),
@@ -149,8 +158,8 @@ s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER b, 0)) / (su
 s4 AS (SELECT *, (SELECT arg_min(level, place) FROM s3 WHERE lim / weight >= level) lv FROM s3),
 s5 AS (SELECT source, source_size, least(lim, lv * weight) target FROM s4),
 s6 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT copies FROM s5),
-p0 AS (SELECT source, target - copies * source_size l FROM s6){steps}
-SELECT t.doc_id, t.size, s.source_size, s.target, ((s.copies + took::INT) * t.size)::BIGINT taken FROM t{rounds} t JOIN s6 s ON t.source IS NOT DISTINCT FROM s.source
+p0 AS (SELECT source, target - copies * source_size l, copies FROM s6){steps}
+SELECT t.doc_id, t.size, s.source_size, s.target, ((s.copies + took) * t.size)::BIGINT taken FROM t{rounds} t JOIN s6 s ON t.source IS NOT DISTINCT FROM s.source
 """
 
 
