@@ -75,7 +75,7 @@ def base_failed() -> Column:
 
 def fails_a_rule() -> Column:
     """The document-level rules whose failures are counted by host."""
-    mean_chars = F.col("word_chars") / F.col("n_words")
+    mean_chars = F.try_divide("word_chars", "n_words")
     return (
         base_failed()
         | (F.col("n_symbols") > F.col("n_words") * MAX_SYMBOLS_PER_WORD)
@@ -92,7 +92,7 @@ def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(fails_a_rule().cast("long")).alias("failures"))
     prior = hosts.select((F.col("failures") / F.col("host_docs")).alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop("r"), F.lit(0.0)).alias("v"))
-    strength = F.when(F.col("v") * 1001 > F.col("m") * (1 - F.col("m")), F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0))).otherwise(F.lit(1000.0))
+    strength = F.when(F.col("v") * 1001 > F.col("m") * (1 - F.col("m")), F.greatest(F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1, F.lit(1.0))).otherwise(F.lit(1000.0))
     mean, weight = prior.select("m", strength).first()
     rate = (F.col("failures") + mean * weight) / (F.col("host_docs") + weight)
     return hosts.select("host", "host_docs", rate.alias("host_rate"), (rate <= limit).alias("host_kept"))
