@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -195,15 +196,22 @@ def test_toxicity_without_labels_or_documents(spark):
     assert toxicity.toxicity(frame(spark, []), empty).collect() == []
 
 
-def test_the_models_sum_to_one(spark):
-    """p(c | context) of each class over all next bytes, for contexts that were seen."""
+def test_shared_backoff_is_kneser_ney(spark):
+    """The shared part against a plain reading of it, and its sum over all next bytes."""
     docs, _ = labelled(60)
-    df = frame(spark, docs)
-    shared = {r.low: r.p for r in toxicity.shared_backoff(df, 3).collect()}
-    by_context = {}
-    for key, p in shared.items():
-        by_context[key >> 8] = by_context.get(key >> 8, 0) + p
-    assert all(0.5 < v <= 1.0 + 1e-9 for v in by_context.values())
+    shared = {r.low: r.p for r in toxicity.shared_backoff(frame(spark, docs), 3).collect()}
+    trigrams = {p[k - 2 : k + 1] for d in docs for w in words(d[1]) for p in [b"  " + w.lower().encode() + b" "] for k in range(2, len(p))}
+    bigrams = Counter(g[1:] for g in trigrams)
+    single = Counter(g[1:] for g in bigrams)
+    one = [0.9 * single[bytes([c])] / sum(single.values()) + 0.1 / 256 for c in range(256)]
+    for context in {g[:1] for g in bigrams}:
+        n = sum(v for g, v in bigrams.items() if g[:1] == context)
+        rest = 0.75 * sum(g[:1] == context for g in bigrams) / n
+        p = [max(bigrams[context + bytes([c])] - 0.75, 0) / n + rest * one[c] for c in range(256)]
+        assert sum(p) == pytest.approx(1)
+        for c in range(256):
+            assert ((context[0] << 8 | c) in shared) == (context + bytes([c]) in bigrams)
+            assert shared.get(context[0] << 8 | c, p[c]) == pytest.approx(p[c])
 
 
 def test_blocks_round_trip():

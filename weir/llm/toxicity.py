@@ -7,10 +7,11 @@ white space (A-Z lowered), so inflected forms of a rare expression support each
 evidence is the difference of its log-likelihoods, normalised by its length, and a logistic curve
 fitted on a fold that the models have not seen turns that into a score.
 
-Where neither class has seen an N-gram the shared part cancels, and the difference depends on the
-context alone; so a model is one table of seen N-grams and one of contexts, and its size is bounded
-by the labelled sample (MAX_LABELLED rows, chosen by a hash of doc_id). A class counts each word
-once a document, and equal texts once.
+Where neither class has seen an N-gram the shared part cancels, and what is left would only tell
+which class has fewer documents; it counts as no evidence, so that new words do not speak for the
+rarer class. So a model is one table of seen N-grams, and its size is bounded by the labelled
+sample (MAX_LABELLED rows, chosen by a hash of doc_id). A class counts each word once a document,
+and equal texts once.
 
 Labels are used of rows whose crc32(doc_id as text) mod 5 is not 0 only: remainder 1 fits the
 curve, the others the models.
@@ -39,6 +40,8 @@ DISCOUNT = 0.75
 MAX_LABELLED = 60_000
 FOLDS = 5
 PIECE = 1 << 21
+#: Log-odds of a text without evidence, at most.
+NOTHING = -0.1
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -68,13 +71,16 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[A.Words, np.ndarray]:
     return words, words.hashes()
 
 
-def _corpus_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [np.zeros(0, np.int64)]
-        for _, _, data, offsets in A.pieces(batch.column(0), PIECE):
-            words, h = _words(data, offsets)
-            found.append(np.unique(grams(words, np.unique(h, return_index=True)[1])[0]))
-        yield pa.record_batch([np.unique(np.concatenate(found))], ["gram"])
+def _corpus_grams(order: int):
+    def corpus_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.int64)]
+            for _, _, data, offsets in A.pieces(batch.column(0), PIECE):
+                words, h = _words(data, offsets)
+                found.append(np.unique(grams(words, np.unique(h, return_index=True)[1], order)[0]))
+            yield pa.record_batch([np.unique(np.concatenate(found))], ["gram"])
+
+    return corpus_grams
 
 
 def _class_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +102,7 @@ def _class_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_backoff(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(low, p): the Kneser-Ney probability of the last byte of each (order - 1)-gram given those before it, by continuation counts over all documents."""
-    level = cut(docs.select("text").mapInArrow(_corpus_grams, "gram long").distinct(), "toxicity-corpus").select(F.col("gram").alias("key"))
+    level = cut(docs.select("text").mapInArrow(_corpus_grams(order), "gram long").distinct(), "toxicity-corpus").select(F.col("gram").alias("key"))
     levels = []
     for size in range(order - 1, 0, -1):
         level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("key")).agg(F.count("*").alias("n"))
@@ -114,7 +120,7 @@ def shared_backoff(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def class_models(counts: DataFrame, shared: DataFrame, order: int = ORDER) -> DataFrame:
-    """(kind, key, value): log-likelihood differences, toxic less ordinary, of seen N-grams (kind 0) and of contexts for unseen ones (kind 1)."""
+    """(key, value): log-likelihood differences, toxic less ordinary, of the N-grams that a class has seen."""
     both = counts.groupBy("gram").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)])
     both = both.withColumn("context", F.shiftright("gram", 8)).withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))).join(shared, "low")
     context = Window.partitionBy("context")
@@ -122,20 +128,18 @@ def class_models(counts: DataFrame, shared: DataFrame, order: int = ORDER) -> Da
         both = both.withColumn(f"all{y}", F.sum(f"n{y}").over(context)).withColumn(f"kinds{y}", F.sum((F.col(f"n{y}") > 0).cast("int")).over(context))
         both = both.withColumn(f"rest{y}", F.when(F.col(f"all{y}") > 0, F.col(f"kinds{y}") * DISCOUNT / F.col(f"all{y}")).otherwise(F.lit(1.0)))
         both = both.withColumn(f"p{y}", F.greatest(F.col(f"n{y}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"all{y}"), F.lit(1)) + F.col(f"rest{y}") * F.col("p"))
-    seen = both.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), F.log(F.col("p1") / F.col("p0")).cast("float").alias("value"))
-    unseen = both.groupBy(F.col("context").alias("key")).agg(F.first(F.log(F.col("rest1") / F.col("rest0"))).cast("float").alias("value"))
-    return seen.unionByName(unseen.select(F.lit(1).alias("kind"), "key", "value"))
+    return both.select(F.col("gram").alias("key"), F.log(F.col("p1") / F.col("p0")).cast("float").alias("value"))
 
 
-Model = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Model = tuple[np.ndarray, np.ndarray]
 
 
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, 0 for those that are missing."""
     if not len(keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.float32)
+        return np.zeros(len(wanted), np.float32)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[at] == wanted
-    return hit, np.where(hit, values[at], np.float32(0))
+    return np.where(keys[at] == wanted, values[at], np.float32(0))
 
 
 def evidence(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +150,7 @@ def evidence(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         _, which, of = np.unique(h, return_index=True, return_inverse=True)
         g, word = grams(words, which)
         distinct, back = np.unique(g, return_inverse=True)
-        hit, value = _looked_up(model[0], model[1], distinct)
-        value = np.where(hit, value, _looked_up(model[2], model[3], distinct >> 8)[1])
+        value = _looked_up(*model, distinct)
         each = np.bincount(word, value[back], minlength=len(which))
         doc = np.repeat(np.arange(len(words.counts)), words.counts)
         sums.append(np.bincount(doc, each[of], minlength=len(words.counts)))
@@ -161,24 +164,36 @@ def features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), total / n, total / np.sqrt(n)], axis=1)
 
 
-def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a logistic curve, slightly held back, whose value is 0.5 where precision and recall on the fitted rows are best together."""
-    scale = np.maximum(np.abs(x).mean(0), 1e-9)
-    x = x / scale
-    w = np.zeros(x.shape[1])
-    held_back = np.diag([1e-6, 0.1, 0.1])
+def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, free: slice) -> np.ndarray:
+    """Weights of the logistic curve that start as w and of which `free` are fitted, slopes slightly held back."""
+    w, part = w.copy(), x[:, free]
+    held_back = np.array([1e-6, 0.1, 0.1])[free]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + held_back, x.T @ (y - p) - held_back @ w)
-        w += np.clip(step, -5, 5)
+        step = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + np.diag(held_back), part.T @ (y - p) - held_back * w[free])
+        w[free] += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
+    return w
+
+
+def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic curve whose value is 0.5 where precision and recall on the fitted rows are best together.
+
+    A text that says nothing is not predicted toxic: where the curve would do so, that point is
+    fixed at NOTHING and the slopes are fitted alone.
+    """
+    scale = np.maximum(np.abs(x).mean(0), 1e-9)
+    x = x / scale
+    w = _curve(x, y, np.zeros(x.shape[1]), slice(None))
     order = np.argsort(-(x @ w), kind="stable")
     z, hits = (x @ w)[order], np.cumsum(y[order])
     f = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     best = int(np.argmax(f))
     if y.sum() >= 20 and best + 1 < len(z):
         w[0] -= (z[best] + z[best + 1]) / 2
+    if w[0] > NOTHING:
+        w = _curve(x, y, np.array([NOTHING, 0.0, 0.0]), slice(1, None))
     return w / scale
 
 
@@ -196,8 +211,7 @@ def scorer(docs: DataFrame, labels: DataFrame) -> Callable[[pa.Array], np.ndarra
     counts = cut(learning.mapInArrow(_class_grams, "gram long, toxic int, n long").groupBy("gram", "toxic").agg(F.sum("n").alias("n")), "toxicity-counts")
     rows = cut(class_models(counts, shared_backoff(texts)), "toxicity-model")
     free(spark)
-    tables = [rows.filter(F.col("kind") == k).select("key", "value").orderBy("key").toArrow() for k in (0, 1)]
-    model = spark.sparkContext.broadcast(tuple(c.to_numpy() for t in tables for c in t.columns))
+    model = spark.sparkContext.broadcast(tuple(c.to_numpy() for c in rows.orderBy("key").toArrow().columns))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
