@@ -30,7 +30,7 @@ from weir.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-REMEMBER = 500_000
+REMEMBER = 250_000
 
 _encoders: dict[tuple[str, str], BytePairs] = {}
 

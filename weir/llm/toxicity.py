@@ -39,7 +39,7 @@ ORDER = 6
 DISCOUNT = 0.75
 MAX_LABELLED = 60_000
 FOLDS = 5
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Log-odds of a text without evidence, at most.
 NOTHING = -0.1
 
