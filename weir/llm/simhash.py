@@ -214,16 +214,21 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return prints.join(named.join(names, "group").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id names a component of found (doc_id, component_id), once each, and those with a null doc_id."""
+    stay = cut(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_weir_id")).distinct(), "near-dedup-stay")
+    kept = docs.join(stay, docs["doc_id"] == stay["_weir_id"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
+    kept = kept.withColumn("_weir_row", first).filter("_weir_row = 1").drop("_weir_row")
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
 def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The rows of docs, all columns, less near-duplicates: of each component the document of least doc_id stays, once.
 
     Rows with a null doc_id all stay, as nothing tells them apart.
     """
-    stay = cut(near_duplicates(docs, budget).filter("doc_id = component_id").select(F.col("doc_id").alias("_weir_id")).distinct(), "simhash-stay")
-    kept = docs.join(stay, docs["doc_id"] == stay["_weir_id"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
-    kept = kept.withColumn("_weir_row", first).filter("_weir_row = 1").drop("_weir_row")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    return first_of_each(docs, near_duplicates(docs, budget))
 
 
 def op6_simhash_tries(spark, sf_dir: str) -> DataFrame:
