@@ -96,6 +96,30 @@ def test_line_dedup_of_odd_rows(spark):
     assert sorted((str(r.doc_id), r.text) for r in got) == [("1", "a\nb"), ("1", "a\nb"), ("2", "x\n\n \na"), ("None", "a\nb")]
 
 
+def test_long_lines_are_repeats_by_themselves(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FREQUENT", 3)
+    long, short = " ".join(f"w{k}" for k in range(50)), " ".join(f"w{k}" for k in range(49))
+    extra = [(3000 + k, f"x{k}\n{long}\ny{k}\n{short}\nz{k}", "", "", 0) for k in range(9)] + [(3100, long, "", "", 0), (3101, f"q\n{long}\n{long}", "", "", 0), (None, long, "", "", 0)]
+    rows = made() + extra
+    lines = {r[0]: (r[1] or "").split("\n") for r in rows if r[0] is not None}
+    worded = {i: [k for k, x in enumerate(v) if words(x)] for i, v in lines.items()}
+    gone = covered(sorted((i, [lines[i][k] for k in v]) for i, v in worded.items()), line_dedup.WINDOW)
+    seen = set()
+    for i in sorted(worded):
+        for n, k in enumerate(worded[i]):
+            if len(words(lines[i][k])) >= 50:
+                gone[i] |= {n} if lines[i][k] in seen else set()
+                seen.add(lines[i][k])
+    import corpus_pipeline
+
+    got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, clashing(frame(spark, rows)), "").collect()}
+    for i, v in lines.items():
+        dropped = {worded[i][k] for k in gone[i]}
+        assert (got[i].text or "") == "\n".join(x for k, x in enumerate(v) if k not in dropped), i
+    assert got[3001].text == f"x1\ny1\n{short}\nz1" and got[3100].text == "" and got[3101].text == "q" and got[None].text == long
+    assert corpus_pipeline.line_dedup(spark, frame(spark, []), "").collect() == []
+
+
 def plain_fingerprint(text):
     w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in words(text)]
     shingles = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []

@@ -8,9 +8,13 @@ all other places of that fingerprint. A line is deleted if it stands in such a r
 starts earlier (smaller doc_id, or same document, earlier line); what is judged is the input, not what
 is left of it. Longer repeats are deleted whole, as their runs overlap.
 
+With long_words, a line of so many words or more is also a repeat by itself, whatever its neighbours. The
+query op4_line_winnowing compares runs of WINDOW lines only, as its SQL does; the pipeline takes
+lines of LONG_WORDS words too.
+
 Lines are equal if their bytes are. Lines without a word are never compared and always kept.
 
-Nulls and odd rows: a null text stays null; texts of fewer than WINDOW lines are kept; equal rows
+Nulls and odd rows: a null text stays null; texts of fewer than WINDOW lines, none of them long, are kept; equal rows
 with one doc_id do not delete each other's lines; rows with a null doc_id are kept whole and
 delete nothing. An empty table gives an empty result. Other columns are passed through.
 """
@@ -30,39 +34,56 @@ from weir.llm.common import cut, free, read
 from weir.llm.substring_dedup import later_runs, least_run
 
 WINDOW = 2
+#: Words of a line that the pipeline takes for a repeat by itself.
+LONG_WORDS = 50
 #: Fingerprints of more places than this are dealt over SALTS tasks.
 FREQUENT = 50_000
 SALTS = 64
 
 
-def _fingerprints(window: int):
+def _fingerprints(window: int, long_words: int | None = None):
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each run of `window` lines: the fingerprint it chose, and two hashes of the whole run."""
+        """One row for each run of `window` lines: the fingerprint it chose, and two hashes of the whole run. A long line is a run of its own."""
         for batch in batches:
             ids = batch.column(1).to_numpy(zero_copy_only=False)
             for row, _, data, offsets in A.pieces(batch.column(0)):
                 lines = A.Words(data, offsets, lines=True)
+                h, h2 = lines.hashes(), lines.hashes(A.BASE_B)
+
+                def placed(starts: np.ndarray, size: int, fingerprint: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
+                    a, b = A.run_hashes(h, starts, size, A.WINDOW_A), A.run_hashes(h2, starts, size, A.WINDOW_B)
+                    doc = np.searchsorted(lines.first, starts, "right") - 1
+                    return pa.record_batch([fingerprint.view(np.int64), new.astype(np.int8), a.view(np.int64), b.astype(np.uint32).view(np.int32), ids[row + doc].astype(np.int64), (starts - lines.first[doc]).astype(np.int32), np.full(len(starts), size, np.int32)], ["fingerprint", "chosen", "a", "b", "doc_id", "start", "size"])
+
                 starts = lines.windows(window)
-                if not len(starts):
-                    continue
-                h = lines.hashes()
-                least = least_run(h, window)[starts]
-                a, b = A.run_hashes(h, starts, window, A.WINDOW_A), A.run_hashes(lines.hashes(A.BASE_B), starts, window, A.WINDOW_B)
-                doc = np.searchsorted(lines.first, starts, "right") - 1
-                new = np.append(True, least[1:] != least[:-1])
-                yield pa.record_batch([h[least].view(np.int64), new.astype(np.int8), a.view(np.int64), b.astype(np.uint32).view(np.int32), ids[row + doc].astype(np.int64), (starts - lines.first[doc]).astype(np.int32)], ["fingerprint", "chosen", "a", "b", "doc_id", "start"])
+                if len(starts):
+                    least = least_run(h, window)[starts]
+                    yield placed(starts, window, h[least], np.append(True, least[1:] != least[:-1]))
+                if long_words is not None and len(lines):
+                    words = A.Words(data, offsets)
+                    starts = np.flatnonzero(np.searchsorted(words.starts, lines.ends) - np.searchsorted(words.starts, lines.starts) >= long_words)
+                    # apart from the fingerprints of runs
+                    yield placed(starts, 1, ~h[starts], np.ones(len(starts), bool))
 
     return fingerprints
 
 
-def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, starts, ends): runs [start, end) of each document's worded lines that stand in a later repeat."""
+def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
+    """(doc_id, starts, ends): runs [start, end) of each document's worded lines that stand in a later repeat, in order of start; with long_words they may overlap."""
     texts = docs.select("text", "doc_id").filter("doc_id is not null and text is not null")
-    runs = cut(texts.mapInArrow(_fingerprints(window), "fingerprint long, chosen byte, a long, b int, doc_id long, start int"), "line-runs")
+    runs = cut(texts.mapInArrow(_fingerprints(window, long_words), "fingerprint long, chosen byte, a long, b int, doc_id long, start int, size int"), "line-runs")
     places = runs.groupBy("fingerprint").agg(F.sum("chosen").alias("n")).filter("n > 1")
     salted = F.col("n") > FREQUENT
     part = F.xxhash64("a", F.when(salted, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)))
-    return later_runs(runs.join(places, "fingerprint").select(part.alias("part"), "a", "b", "doc_id", "start", salted.alias("salted")), window)
+    leaves = runs.join(places, "fingerprint").select(part.alias("part"), "a", "b", "doc_id", "start", salted.alias("salted"), "size")
+    found = later_runs(leaves.filter(F.col("size") == window).drop("size"), window)
+    if long_words is None:
+        return found
+    if window == 1:
+        raise ValueError("with a window of one line every line is a repeat by itself")
+    both = found.unionAll(later_runs(leaves.filter("size = 1").drop("size"), 1)).select("doc_id", F.arrays_zip("starts", "ends").alias("runs"))
+    merged = both.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"))
+    return merged.select("doc_id", F.col("runs.starts").alias("starts"), F.col("runs.ends").alias("ends"))
 
 
 def _without(text: str | None, starts: list[int] | None, ends: list[int] | None) -> tuple[int, int, str | None]:
@@ -84,9 +105,9 @@ def _without(text: str | None, starts: list[int] | None, ends: list[int] | None)
     return n, removed, "\n".join(kept) if removed else text
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """The rows of docs, all columns, with later repeated lines deleted from text; n_chars, where docs has it, is counted anew."""
-    spans = cut(repeated_lines(docs, window), "line-spans").select(F.col("doc_id").alias("_weir_id"), F.col("starts").alias("_weir_starts"), F.col("ends").alias("_weir_ends"))
+    spans = cut(repeated_lines(docs, window, long_words), "line-spans").select(F.col("doc_id").alias("_weir_id"), F.col("starts").alias("_weir_starts"), F.col("ends").alias("_weir_ends"))
     free(docs.sparkSession)
     rows = docs.join(spans, docs["doc_id"] == spans["_weir_id"], "left").drop("_weir_id")
 
