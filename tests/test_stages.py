@@ -205,3 +205,12 @@ def test_ledger_balances(spark):
     by = {(x.node, x.metric): x.n for x in ledger}
     for node in ("drop_short", "dedupe_text", "by_lang", "number", "tag", "mask", "some"):
         assert by[node, "records_in_total"] == by[node, "records_out_total"] + by.get((node, "records_dropped_total"), 0), node
+
+
+def test_long_texts_are_split_whole(spark, tmp_path):
+    """Lines of more than 1 MiB together, and more lines than the script stage's default of instructions, against the query's SQL."""
+    texts = [(1, "\n".join(["x" * 600_000] * 3), "fr"), (2, "a\n" * 1_000_100, "de"), (3, "l1\n\nl2", "es"), (4, "no", "en")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").selectExpr("doc_id", "text", "lang", "'s1' source", "length(text) n_chars").coalesce(1).write.parquet(str(tmp_path / "documents"))
+    next((tmp_path / "documents").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    counts = QUERIES["script_split_lines"](spark, str(tmp_path)).groupBy("doc_id", "line").agg(F.count("*").alias("n"))
+    same(counts, oracle(f"SELECT doc_id, line, count(*) n FROM ({ORACLE_SQL['script_split_lines']}) GROUP BY ALL", str(tmp_path)))

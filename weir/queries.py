@@ -302,6 +302,7 @@ def script_split_lines(spark, d):
   - {id: f, type: filter, action: drop, condition: 'lang == "en"'}
   - id: s
     type: script
+    limits: {instructions: 1000000000000, output_kib: 1000000000}
     source: |
       def process(record, meta):
           lines = [line for line in record["text"].split("\\n") if line]
