@@ -174,6 +174,27 @@ def test_likeness_estimates_the_share_of_common_syncmers(spark):
         assert abs(near - share / (2 - share)) < 0.2
 
 
+def test_short_shared_passages_of_long_texts_count(spark, tmp_path):
+    """Likeness of whole anchor sets, and a passage of 30 words found by place, in texts of 6000 words."""
+    shared = [f"s{k}" for k in range(30)]
+    a = [f"a{k}" for k in range(6000)]
+    b = [f"b{k}" for k in range(3000)] + shared + [f"b{k}" for k in range(3000, 6000)]
+    a[1000:1000] = shared
+    frame(spark, [(1, " ".join(a), "en", "s", 0), (2, " ".join(b), "en", "s", 0), (3, "", "en", "s", 0)]).write.parquet(str(tmp_path / "documents.parquet"))
+    df = spark.createDataFrame([(7, " ".join(a), " ".join(b))], "pair long, a string, b string")
+    df = syncmers.syncmers(syncmers.syncmers(df, "a", "x"), "b", "y")
+    row = df.first()
+    x, y = {r["hash"] for r in row.x}, {r["hash"] for r in row.y}
+    got = {r.doc_id: r for r in syncmers.op2_syncmer_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(x & y) > 10 and got[2].near_next == pytest.approx(len(x & y) / len(x | y)) and got[1].near_next == 0.0
+    found = syncmers.passages(df, "pair", "x", "y")
+    assert no_python(found)
+    (one,) = found.collect()
+    assert one.pair == 7 and one.b_start - one.a_start == 2000 and 1000 <= one.a_start <= 1002 and 1028 <= one.a_start + one.n_words <= 1030
+    same = syncmers.passages(df.select("pair", "x"), "pair", "x", "x").collect()
+    assert [(r.a_start, r.b_start) for r in same] == [(same[0].a_start,) * 2] and same[0].n_words >= 6026
+
+
 def test_next_rows_with_ties_and_nulls(spark):
     rows = [(None, "n1", "", "", 0), (None, "n2", "", "", 0), (5, "a", "", "", 0), (5, "a", "", "", 0), (9, "z", "", "", 0)]
     got = syncmers.with_next(frame(spark, rows).select("doc_id", "text"), ["text"]).collect()

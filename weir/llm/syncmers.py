@@ -2,10 +2,13 @@
 
 A text is a sequence of words, each replaced by its hash. A window of K words is a closed syncmer
 if the smallest of its S-word pieces is the first or the last of them. Whether a window is chosen
-depends on its own words only, so equal passages give equal anchors wherever they stand. The
-fingerprint of a text is the FINGERPRINT smallest distinct syncmer hashes, and the likeness of two
-is the share of common ones among the smallest of their union, which estimates the Jaccard
-similarity of the syncmer sets (exact for texts with few of them).
+depends on its own words only, so equal passages give equal anchors wherever they stand. syncmers() keeps all of
+them with their places. similarity() of two texts is the Jaccard similarity of their whole syncmer
+sets; passages() chains equal anchors by place into the passages that two texts share.
+
+The fingerprint of a text is a digest, the FINGERPRINT smallest distinct syncmer hashes; the likeness
+of two is the share of common ones among the smallest of their union, which only estimates the
+similarity. The query shows fingerprints and compares whole sets.
 
 Nulls and odd rows: a null text is an empty text; an empty text has an empty fingerprint; a text of
 fewer than K words has one hash, that of all its words; two empty fingerprints have likeness 1.
@@ -64,6 +67,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(smallest, F.array_intersect(a, b))) / F.size(smallest))
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the hashes of two anchor arrays, all of them; 1 for two empty ones."""
+    both, either = F.size(F.array_intersect(a["hash"], b["hash"])), F.size(F.array_union(a["hash"], b["hash"]))
+    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+
+
+def passages(pairs: DataFrame, key: str, a: str, b: str, k: int = K) -> DataFrame:
+    """(key, a_start, b_start, n_words): the passages that the texts of anchor columns a and b share, from outer anchor to outer anchor.
+
+    Equal anchors lie on a diagonal, the difference of their places; those of a diagonal whose windows
+    of k words touch or overlap make one passage. Texts of fewer than k words have none. key names a pair
+    of texts and is unique and not null. Work grows with the equal anchors, which a hash repeated in both texts multiplies.
+    """
+    left, right = (pairs.select(key, F.explode(c).alias("x")).select(key, F.col("x.hash").alias("hash"), F.col("x.at").alias(at)) for c, at in ((a, "_i"), (b, "_j")))
+    met = left.join(right, [key, "hash"]).withColumn("_diagonal", F.col("_j") - F.col("_i"))
+    order = Window.partitionBy(key, "_diagonal").orderBy("_i")
+    met = met.withColumn("_run", F.sum(F.coalesce((F.col("_i") - F.lag("_i").over(order) > k).cast("int"), F.lit(1))).over(order))
+    return met.groupBy(key, "_diagonal", "_run").agg(F.min("_i").alias("a_start"), F.min("_j").alias("b_start"), (F.max("_i") - F.min("_i") + k).alias("n_words")).drop("_diagonal", "_run")
+
+
 def as_text(print_: Column) -> Column:
     return F.array_join(F.transform(print_, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
@@ -104,19 +127,20 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def op2_syncmer_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(syncmers(docs, "text", "_a").withColumn("print", fingerprint(F.col("_a"))).drop("_a"), ["text", "print"])
+    rows = with_next(docs, ["text"])
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.substring("next_text", F.lit(1), F.col("half"))))
-    rows = rows.select("doc_id", "n_chars", "edited", "print", "next_print", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    rows = syncmers(rows, "edited", "_a").withColumn("edited_print", fingerprint(F.col("_a")))
+    rows = rows.select("doc_id", "n_chars", "text", "next_text", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    for text, anchors in (("text", "_a"), ("next_text", "_n"), ("edited", "_e")):
+        rows = syncmers(rows, text, anchors).drop(text)
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("print")).alias("fingerprint"),
-        as_text(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
-        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+        as_text(fingerprint(F.col("_a"))).alias("fingerprint"),
+        as_text(fingerprint(F.col("_e"))).alias("edited_fingerprint"),
+        similarity(F.col("_a"), F.col("_e")).alias("near_edited"),
+        similarity(F.col("_a"), F.col("_n")).alias("near_next"),
     )
 
 
