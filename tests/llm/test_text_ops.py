@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import SMALL, oracle, same
 from tests.llm.corpus import clashing, frame, made, words
-from weir.llm import arrow_words, byte_bpe, line_dedup, simhash, substring_dedup, token_files, toxicity
+from weir.llm import arrow_words, byte_bpe, line_dedup, repeats, shingle_join, simhash, substring_dedup, token_files, toxicity
 from weir.llm.components import components
 
 
@@ -51,10 +51,16 @@ def covered(sequences, size):
     return out
 
 
-@pytest.mark.parametrize("size, frequent", [(20, 100_000), (12, 2)])
-def test_substring_dedup(spark, monkeypatch, size, frequent):
-    monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
-    monkeypatch.setattr(substring_dedup, "PLAN_SHARE", 1)
+def salted(monkeypatch):
+    """Every anchor met twice is dealt by document."""
+    for name, value in (("FREQUENT", 2), ("PLAN_SHARE", 1), ("FAIR", 1_000_000)):
+        monkeypatch.setattr(repeats, name, value)
+
+
+@pytest.mark.parametrize("size, hot", [(20, False), (12, True), (5, True)])
+def test_substring_dedup(spark, monkeypatch, size, hot):
+    if hot:
+        salted(monkeypatch)
     rows = made()
     gone = covered(sorted((r[0], words(r[1])) for r in rows), size)
     got = substring_dedup.remove_repeats(clashing(frame(spark)), size).collect()
@@ -76,7 +82,7 @@ def test_substring_dedup_of_odd_rows(spark):
 
 
 def test_line_dedup(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FREQUENT", 3)
+    salted(monkeypatch)
     rows = made()
     lines = {r[0]: (r[1] or "").split("\n") for r in rows}
     worded = {i: [k for k, x in enumerate(v) if words(x)] for i, v in lines.items()}
@@ -96,8 +102,70 @@ def test_line_dedup_of_odd_rows(spark):
     assert sorted((str(r.doc_id), r.text) for r in got) == [("1", "a\nb"), ("1", "a\nb"), ("2", "x\n\n \na"), ("None", "a\nb")]
 
 
+@pytest.mark.parametrize("window", [1, 2, 5])
+def test_only_chosen_minima_are_dealt(window):
+    rng = np.random.default_rng(3)
+    h, first = rng.integers(0, 2**63, 400).astype(np.uint64) % np.uint64(97), np.array([0, 150, 150, 151, 400])
+    fingerprint, start, n, runs = repeats.anchored(h, h + np.uint64(1), first, window, 1)
+    want = {}
+    for a, b in zip(first, first[1:], strict=False):
+        for k in range(a, b - window + 1):
+            least = k + int(np.argmin(h[k : k + window]))
+            want.setdefault(least, []).append(k)
+    assert [list(range(s, s + m)) for s, m in zip(start, n, strict=True)] == list(want.values())
+    assert fingerprint.tolist() == h[list(want)].tolist() and len(runs) == sum(map(len, want.values()))
+
+
+def twins():
+    """Two different words that every hash linear in its bytes, modulo a power of two, takes for one."""
+    morse = [bin(k).count("1") % 2 for k in range(1024)]
+    return "".join("ab"[x] for x in morse), "".join("ba"[x] for x in morse)
+
+
+def test_patterns_do_not_collide(spark):
+    one, other = twins()
+    text = pa.array([f"{one} {other}"])
+    (_, _, data, offsets), *_ = arrow_words.pieces(text)
+    for w in (arrow_words.Words(data, offsets), arrow_words.Words(np.frombuffer(f"{one}\n{other}".encode(), np.uint8), np.array([0, 2049]), lines=True)):
+        assert len(set(w.hashes().tolist())) == len(set(w.hashes(arrow_words.SEED_B).tolist())) == 2
+    start = " ".join(f"w{k}" for k in range(19))
+    docs = frame(spark, [(1, f"{start} {one}", "", "", 0), (2, f"{start} {other}", "", "", 0), (3, f"u\n{one}", "", "", 0), (4, f"u\n{other}", "", "", 0)])
+    assert [r.n_removed for r in substring_dedup.remove_repeats(docs).collect()] == [0] * 4
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {r.doc_id: r.text for r in docs.collect()}
+    runs = arrow_words.Runs(np.array([[3, 5][bin(k).count("1") % 2] for k in range(2048)], np.uint64)).of(1024)
+    assert runs[0] != runs[1024]
+
+
+def test_texts_under_one_doc_id(spark, monkeypatch):
+    alone = " ".join(f"v{k}" for k in range(25))
+    shared = " ".join(f"w{k}" for k in range(25))
+    rows = [(0, shared, "", "", 0), (1, shared + " z", "", "", 0), (1, alone, "", "", 0), (1, alone + " y", "", "", 0), (2, alone, "", "", 0)]
+    lines = [(0, "p\nq", "", "", 0), (1, "p\nq\nz", "", "", 0), (1, "m\nn\nz", "", "", 0)]
+    for hot in (False, True):
+        if hot:
+            salted(monkeypatch)
+        got = sorted((r.doc_id, r.kept) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+        assert got == sorted([(0, shared), (1, "z"), (1, alone), (1, alone + " y"), (2, "")])
+        got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(frame(spark, lines)).collect())
+        assert got == [(0, "p\nq"), (1, "m\nn\nz"), (1, "z")]
+    near = [(1, alone, "", "", 0), (2, shared, "", "", 0), (2, alone + " y", "", "", 0), (3, shared, "", "", 0), (3, shared, "", "", 0)]
+    for one_of_each in (lambda d: simhash.one_of_each(d, 16), shingle_join.one_of_each):
+        assert sorted((r.doc_id, r.text) for r in one_of_each(frame(spark, near)).collect()) == [(1, alone), (2, shared)]
+
+
+def test_texts_of_megabytes(spark):
+    passage = " ".join(f"p{k}" for k in range(30))
+    huge = "\n".join(f"a{k} b{k} c{k}" for k in range(80_000))
+    rows = [(0, passage + "\nx", "", "", 0), (1, huge + "\n" + passage + "\nx", "", "", 0), (2, "q" * 3_000_000, "", "", 0), (3, huge, "", "", 0)]
+    assert len(huge) > 2 * arrow_words.PIECE * 0.6
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {0: 0, 1: 31, 2: 0, 3: 240_000}
+    got = {r.doc_id: len(r.text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {0: len(passage) + 2, 1: len(huge), 2: 3_000_000, 3: 0}
+
+
 def test_long_lines_are_repeats_by_themselves(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FREQUENT", 3)
+    salted(monkeypatch)
     long, short = " ".join(f"w{k}" for k in range(50)), " ".join(f"w{k}" for k in range(49))
     extra = [(3000 + k, f"x{k}\n{long}\ny{k}\n{short}\nz{k}", "", "", 0) for k in range(9)] + [(3100, long, "", "", 0), (3101, f"q\n{long}\n{long}", "", "", 0), (None, long, "", "", 0)]
     rows = made() + extra

@@ -1,39 +1,32 @@
 """Words and word hashes of Arrow text columns, computed on whole buffers with numpy.
 
 Texts are cut at word boundaries in their UTF-8 form: all white space that counts is ASCII. A
-hash of bytes b0 b1 .. is the sum of (b+1) * BASE**i modulo 2**64, taken from running sums, so the
-hashes of all words of a buffer cost a few passes over it, however long the words are.
+word is hashed eight bytes at a time, each step a bijection of what came before, so words of up to eight
+bytes never share a hash with another of their length. Hashes of runs of items are joined from
+those of their halves. Nothing here is linear in the bytes or the items, so no pattern of repeats makes
+two texts collide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text worked on at once, unless one text is longer.
 PIECE = 1 << 20
-BASE_A, BASE_B, WINDOW_A, WINDOW_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Longer words are hashed by the library, one by one.
+LONG = 128
+SEED_A, SEED_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i under n; base is odd."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        n = max(n, PIECE + 1)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            table = np.full(n, b, np.uint64)
-            table[:1] = 1
-            out.append(np.cumprod(table, dtype=np.uint64))
-        _powers[base] = (out[0], out[1])
-    up, down = _powers[base]
-    return up[:n], down[:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -43,6 +36,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow that gives its memory back at the end: workers stay for later tasks, and what they hold counts all the while."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return released
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the offsets of its rows; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
@@ -89,11 +103,21 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, base: int = BASE_A) -> np.ndarray:
-        up, down = powers(base, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
+    def hashes(self, seed: int = SEED_A) -> np.ndarray:
+        size = self.ends - self.starts
+        out = mixed(size.astype(np.uint64) * _ODD ^ np.uint64(seed))
+        padded = np.append(self.data, np.zeros(8, np.uint8))
+        live = np.flatnonzero(size <= LONG)
+        for step in range(0, LONG, 8):
+            live = live[size[live] > step]
+            if not len(live):
+                break
+            bytes_ = padded[(self.starts[live] + step)[:, None] + np.arange(8)].view("<u8").ravel()
+            over = np.maximum(step + 8 - size[live], 0).astype(np.uint64) * np.uint64(8)
+            out[live] = mixed(out[live] ^ ((bytes_ << over) >> over)) + np.uint64(step + 1)
+        for k in np.flatnonzero(size > LONG).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k] : self.ends[k]].tobytes(), seed)
+        return out
 
     def windows(self, size: int) -> np.ndarray:
         """Numbers of the words that start a run of `size` words inside one text."""
@@ -101,9 +125,37 @@ class Words:
         return np.flatnonzero(room >= size)
 
 
-def run_hashes(hashes: np.ndarray, at: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Hashes of hashes[i : i + size] for each i of at."""
-    up, down = powers(base, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    return mixed((sums[at + size] - sums[at]) * down[at])
+class Runs:
+    """Hashes of runs of successive items; shorter runs are kept for longer ones."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.n, self.known = len(hashes), {1: hashes}
+
+    def of(self, size: int) -> np.ndarray:
+        """The hash of the `size` items from each place that has so many."""
+        if size not in self.known:
+            half = 1 << ((size - 1).bit_length() - 1)
+            left, right = self.of(half), self.of(size - half)
+            n = max(self.n - size + 1, 0)
+            self.known[size] = mixed(left[:n] * _ODD + right[half : half + n])
+        return self.known[size]
+
+
+def set_hashes(items: np.ndarray, n: np.ndarray, seed: int = SEED_B) -> np.ndarray:
+    """One hash for each of some sets, n the number of each one's items; zero for an empty set. The order of items does not matter."""
+    out = np.zeros(len(n), np.uint64)
+    some = n > 0
+    if some.any():
+        out[some] = mixed(np.add.reduceat(mixed(items ^ np.uint64(seed)), (np.cumsum(n) - n)[some]) + n[some].astype(np.uint64) * _ODD)
+    return out
+
+
+def least_run(g: np.ndarray, width: int) -> np.ndarray:
+    """For each i the place of the first least value of g[i : i + width]."""
+    at, span = np.arange(len(g)), 1
+    while span < width:
+        step = min(span, width - span)
+        a, b = at[: len(at) - step], at[step:]
+        at = np.where(g[b] < g[a], b, a)
+        span += step
+    return at

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +42,59 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Scratch tables that have not been deleted, and whom they were made for.
+_open: dict[str, str] = {}
+_owner: list[str] = [""]
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Tables that cut() makes meanwhile are deleted by sweep(owner)."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
-    Cuts the lineage: a lost executor costs no recomputation of what came before.
+    Cuts the lineage: a lost executor costs no recomputation of what came before. done() deletes the table, and so
+    does sweep() unless keep is set.
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.weir_path = path
+    if not keep:
+        _open[path] = _owner[-1]
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _open.pop(path, None)
+
+
+def done(*tables: DataFrame) -> None:
+    """Deletes tables made by cut(). Whatever was derived from them must have been written."""
+    for table in tables:
+        _delete(table.sparkSession, table.weir_path)
+    free(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession, owner: str) -> None:
+    """Deletes the tables made for owner so far. What was derived from them must have been written."""
+    for path in [path for path, of in _open.items() if of == owner]:
+        _delete(spark, path)
+    free(spark)
+
+
+def row_key(text: str = "text") -> Column:
+    """Tells rows of one doc_id apart by their texts."""
+    return F.shiftright(F.xxhash64(text), 32).cast("int")
 
 
 def words(text: Column) -> Column:

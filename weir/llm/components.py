@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import cut
+from weir.llm.common import cut, done
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, least): the least node reachable, for every node of links (a, b) but those that are least themselves.
+    """(node, least): the least node reachable, for every node of links (a, b) but those that are least themselves; written.
 
     Large and small stars alternate: neighbours are linked to the least neighbour, first the larger
     ones, then the smaller, until every component is one star. The number of rounds grows with the
     logarithm of the longest path; each round is written, so lineage stays short.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
-    before = None
+    before, written = None, None
     while True:
         edges = cut(edges, "links")
+        if written is not None:
+            done(written)
+        written = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("least"))
+            stars = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("least")), "stars")
+            done(edges)
+            return stars
         before = now
         # large star: each node's larger neighbours are linked to the least of the node and its neighbours
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

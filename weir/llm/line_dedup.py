@@ -1,12 +1,12 @@
 """Line dedup by winnowing over line hashes.
 
 A document is its sequence of lines that hold a word. Of every WINDOW successive lines the one with
-the least hash is a fingerprint, so any run of WINDOW lines that two places share has a common
-fingerprint there. Fingerprints that occur once in the corpus are dropped; each of the others is
-extended to both sides, to the WINDOW-line runs that chose it, and the runs are compared with
-all other places of that fingerprint. A line is deleted if it stands in such a run that also
-starts earlier (smaller doc_id, or same document, earlier line); what is judged is the input, not what
-is left of it. Longer repeats are deleted whole, as their runs overlap.
+the least hash is chosen as a fingerprint, so any run of WINDOW lines that two places share has a common
+fingerprint there. Only chosen lines are dealt. The positions of equal fingerprints meet, and each is
+extended to both sides by the lines around it, within the windows that chose it; where two extend alike,
+the lines that they have in common are a shared run (see repeats.py). A line is deleted if it stands in
+such a run that also starts earlier (smaller doc_id, or same document, earlier line); what is judged is the
+input, not what is left of it. Longer repeats are deleted whole, as their runs overlap.
 
 With long_words, a line of so many words or more is also a repeat by itself, whatever its neighbours. The
 query op4_line_winnowing compares runs of WINDOW lines only, as its SQL does; the pipeline takes
@@ -14,9 +14,10 @@ lines of LONG_WORDS words too.
 
 Lines are equal if their bytes are. Lines without a word are never compared and always kept.
 
-Nulls and odd rows: a null text stays null; texts of fewer than WINDOW lines, none of them long, are kept; equal rows
-with one doc_id do not delete each other's lines; rows with a null doc_id are kept whole and
-delete nothing. An empty table gives an empty result. Other columns are passed through.
+Nulls and odd rows: a null text stays null; texts of fewer than WINDOW lines, none of them long, are kept; rows
+with one doc_id do not delete each other's lines, whether their texts are equal or not; rows with a null doc_id
+are kept whole and delete nothing. Texts and lines may have any length, as a task holds one text at a time. An
+empty table gives an empty result. Other columns are passed through.
 """
 
 from __future__ import annotations
@@ -30,95 +31,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm import arrow_words as A
-from weir.llm.common import cut, free, read
-from weir.llm.substring_dedup import later_runs, least_run
+from weir.llm.common import cut, done, read, row_key
+from weir.llm.repeats import later_repeats
 
 WINDOW = 2
 #: Words of a line that the pipeline takes for a repeat by itself.
 LONG_WORDS = 50
-#: Fingerprints of more places than this are dealt over SALTS tasks.
-FREQUENT = 50_000
-SALTS = 64
 
 
-def _fingerprints(window: int, long_words: int | None = None):
-    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each run of `window` lines: the fingerprint it chose, and two hashes of the whole run. A long line is a run of its own."""
-        for batch in batches:
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
-            for row, _, data, offsets in A.pieces(batch.column(0)):
-                lines = A.Words(data, offsets, lines=True)
-                h, h2 = lines.hashes(), lines.hashes(A.BASE_B)
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lines = A.Words(data, offsets, lines=True)
+    return lines.hashes(), lines.hashes(A.SEED_B), lines.first
 
-                def placed(starts: np.ndarray, size: int, fingerprint: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
-                    a, b = A.run_hashes(h, starts, size, A.WINDOW_A), A.run_hashes(h2, starts, size, A.WINDOW_B)
-                    doc = np.searchsorted(lines.first, starts, "right") - 1
-                    return pa.record_batch([fingerprint.view(np.int64), new.astype(np.int8), a.view(np.int64), b.astype(np.uint32).view(np.int32), ids[row + doc].astype(np.int64), (starts - lines.first[doc]).astype(np.int32), np.full(len(starts), size, np.int32)], ["fingerprint", "chosen", "a", "b", "doc_id", "start", "size"])
 
-                starts = lines.windows(window)
-                if len(starts):
-                    least = least_run(h, window)[starts]
-                    yield placed(starts, window, h[least], np.append(True, least[1:] != least[:-1]))
-                if long_words is not None and len(lines):
-                    words = A.Words(data, offsets)
-                    starts = np.flatnonzero(np.searchsorted(words.starts, lines.ends) - np.searchsorted(words.starts, lines.starts) >= long_words)
-                    # apart from the fingerprints of runs
-                    yield placed(starts, 1, ~h[starts], np.ones(len(starts), bool))
+def _long_lines(long_words: int):
+    def long_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lines, words = A.Words(data, offsets, lines=True), A.Words(data, offsets)
+        long = np.searchsorted(words.starts, lines.ends) - np.searchsorted(words.starts, lines.starts) >= long_words
+        return lines.hashes()[long], lines.hashes(A.SEED_B)[long], np.append(0, np.cumsum(long))[lines.first]
 
-    return fingerprints
+    return long_lines
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
-    """(doc_id, starts, ends): runs [start, end) of each document's worded lines that stand in a later repeat, in order of start; with long_words they may overlap."""
-    texts = docs.select("text", "doc_id").filter("doc_id is not null and text is not null")
-    runs = cut(texts.mapInArrow(_fingerprints(window, long_words), "fingerprint long, chosen byte, a long, b int, doc_id long, start int, size int"), "line-runs")
-    places = runs.groupBy("fingerprint").agg(F.sum("chosen").alias("n")).filter("n > 1")
-    salted = F.col("n") > FREQUENT
-    part = F.xxhash64("a", F.when(salted, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)))
-    leaves = runs.join(places, "fingerprint").select(part.alias("part"), "a", "b", "doc_id", "start", salted.alias("salted"), "size")
-    found = later_runs(leaves.filter(F.col("size") == window).drop("size"), window)
+    """(doc_id, key, starts, ends, long_starts, long_ends), written: runs [start, end) of the worded lines of each row of docs that stand in a later repeat, and of its lines of long_words words or more, counted apart."""
+    spans = later_repeats(docs.select("doc_id", "text"), _lines, window, 1)
     if long_words is None:
-        return found
-    if window == 1:
-        raise ValueError("with a window of one line every line is a repeat by itself")
-    both = found.unionAll(later_runs(leaves.filter("size = 1").drop("size"), 1)).select("doc_id", F.arrays_zip("starts", "ends").alias("runs"))
-    merged = both.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"))
-    return merged.select("doc_id", F.col("runs.starts").alias("starts"), F.col("runs.ends").alias("ends"))
+        return spans.withColumns({"long_starts": F.lit(None).cast("array<int>"), "long_ends": F.lit(None).cast("array<int>")})
+    longs = later_repeats(docs.select("doc_id", "text"), _long_lines(long_words), 1, 1)
+    both = spans.join(longs.withColumnsRenamed({"starts": "long_starts", "ends": "long_ends"}), ["doc_id", "key"], "full")
+    out = cut(both, "line-spans")
+    done(spans, longs)
+    return out
+
+
+class _Runs:
+    """Tells for successive numbers whether they stand in runs."""
+
+    def __init__(self, starts: list[int] | None, ends: list[int] | None):
+        self.starts, self.ends, self.at, self.n = starts or [], ends or [], 0, 0
 
+    def next(self) -> bool:
+        n, self.n = self.n, self.n + 1
+        while self.at < len(self.ends) and n >= self.ends[self.at]:
+            self.at += 1
+        return self.at < len(self.starts) and n >= self.starts[self.at]
 
-def _without(text: str | None, starts: list[int] | None, ends: list[int] | None) -> tuple[int, int, str | None]:
+
+def _without(text: str | None, starts: list[int] | None, ends: list[int] | None, long_starts: list[int] | None = None, long_ends: list[int] | None = None, long_words: int | None = None) -> tuple[int, int, str | None]:
     """Worded lines, those deleted, and the text that is left."""
     if text is None:
         return 0, 0, None
-    kept, place, n, removed = [], 0, 0, 0
-    starts, ends = starts or [], ends or []
+    runs, long_runs = _Runs(starts, ends), _Runs(long_starts, long_ends)
+    kept, removed = [], 0
     for line in text.split("\n"):
         if line.strip(" \t\n\x0b\x0c\r"):
-            while place < len(ends) and n >= ends[place]:
-                place += 1
-            gone = place < len(starts) and n >= starts[place]
-            n += 1
+            gone = runs.next()
+            if long_starts and len(line) >= 2 * long_words - 1 and len(line.encode().split()) >= long_words and long_runs.next():
+                gone = True
             if gone:
                 removed += 1
                 continue
         kept.append(line)
-    return n, removed, "\n".join(kept) if removed else text
+    return runs.n, removed, "\n".join(kept) if removed else text
+
+
+_SPANS = ("starts", "ends", "long_starts", "long_ends")
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None = None) -> DataFrame:
     """The rows of docs, all columns, with later repeated lines deleted from text; n_chars, where docs has it, is counted anew."""
-    spans = cut(repeated_lines(docs, window, long_words), "line-spans").select(F.col("doc_id").alias("_weir_id"), F.col("starts").alias("_weir_starts"), F.col("ends").alias("_weir_ends"))
-    free(docs.sparkSession)
-    rows = docs.join(spans, docs["doc_id"] == spans["_weir_id"], "left").drop("_weir_id")
+    spans = repeated_lines(docs, window, long_words)
+    spans = spans.select(F.col("doc_id").alias("_weir_id"), F.col("key").alias("_weir_text"), *[F.col(c).alias(f"_weir_{c}") for c in _SPANS])
+    rows = docs.withColumn("_weir_key", row_key())
+    rows = rows.join(spans, (rows["doc_id"] == spans["_weir_id"]) & (rows["_weir_key"] == spans["_weir_text"]), "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            left = [t if not s else _without(t, s, e)[2] for t, s, e in zip(batch.column(at).to_pylist(), batch.column("_weir_starts").to_pylist(), batch.column("_weir_ends").to_pylist(), strict=True)]
+            spans = zip(*(batch.column(f"_weir_{c}").to_pylist() for c in _SPANS), strict=True)
+            left = [t.as_py() if not s[0] and not s[2] else _without(t.as_py(), *s, long_words)[2] for t, s in zip(batch.column(at), spans, strict=True)]
             batch = batch.set_column(at, "text", pa.array(left, pa.string()))
             yield batch.select([n for n in batch.schema.names if not n.startswith("_weir_")])
 
-    cleaned = rows.mapInArrow(clean, docs.schema)
+    cleaned = rows.mapInArrow(A.releasing(clean), docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
@@ -130,9 +126,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op4_line_winnowing(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = cut(repeated_lines(docs), "line-spans")
-    free(spark)
-    return docs.join(spans, "doc_id", "left").mapInArrow(_digests, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    rows = docs.withColumn("key", row_key()).join(repeated_lines(docs), ["doc_id", "key"], "left")
+    return rows.select("doc_id", "text", "starts", "ends").mapInArrow(A.releasing(_digests), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 QUERIES = {"op4_line_winnowing": op4_line_winnowing}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.llm import arrow_words as A
-from weir.llm.common import cut, read
+from weir.llm.common import cut, done, read, row_key
 from weir.llm.components import components
 
 SHINGLE = 4
@@ -40,6 +40,8 @@ FRONTIER = 1 << 18
 LEAVES = 16
 #: Expected classes in a trie above which the bits are cut into more blocks.
 TRIE = 4096
+#: Classes above which a trie is dealt again.
+SPLIT = 50_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -73,8 +75,8 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [fingerprints(data, offsets) for _, _, data, offsets in A.pieces(batch.column(1))]
-        yield pa.record_batch([batch.column(0), np.concatenate(found).view(np.int64) if found else pa.array([], pa.int64())], ["doc_id", "fingerprint"])
+        found = [fingerprints(data, offsets) for _, _, data, offsets in A.pieces(batch.column(2))]
+        yield pa.record_batch([batch.column(0), batch.column(1), np.concatenate(found).view(np.int64) if found else pa.array([], pa.int64())], ["doc_id", "key", "fingerprint"])
 
 
 class Groups:
@@ -172,17 +174,21 @@ def _stars(budget: int):
             linked = label != np.arange(len(f))
             return pa.record_batch([f[linked].view(np.int64), f[label[linked]].view(np.int64)], ["a", "b"])
 
-        rest: list[np.ndarray] = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        parts: list[list[np.ndarray]] = []
         for batch in batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            rest = [np.concatenate([x, y.view(np.uint64) if k == 2 else y]) for k, (x, y) in enumerate(zip(rest, new, strict=True))]
-            changes = np.flatnonzero((rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1]))
-            if len(changes):
-                done = int(changes[-1]) + 1
-                yield walked(*(x[:done] for x in rest))
-                rest = [x[done:] for x in rest]
-        if len(rest[0]):
-            yield walked(*rest)
+            if not batch.num_rows:
+                continue
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+            other = np.flatnonzero((new[0] != new[0][-1]) | (new[1] != new[1][-1]))
+            at = int(other[-1]) + 1 if len(other) else 0  # where the last row's trie begins in this batch
+            if parts and (at or (parts[-1][0][-1], parts[-1][1][-1]) != (new[0][0], new[1][0])):
+                yield walked(*(np.concatenate(x) for x in zip(*parts, [x[:at] for x in new], strict=True)))
+                parts = []
+            elif at:
+                yield walked(*(x[:at] for x in new))
+            parts.append([x[at:] for x in new])
+        if parts:
+            yield walked(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return stars
 
@@ -201,34 +207,77 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _parts(mask: int, n: int) -> list[int]:
+    """The bits of a mask cut into n masks of successive ones."""
+    bits = [1 << k for k in range(64) if mask >> k & 1]
+    return [sum(bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
+
+
+def dealt(classes: DataFrame, budget: int) -> DataFrame:
+    """(choice, root, fingerprint): the tries, each class in one for each choice.
+
+    A trie of more than SPLIT classes is dealt again: its other bits are cut into BUDGET + 1 blocks, of which linked
+    pairs agree in one at least. What is left of it has so few free bits that classes within the budget of each other are few.
+    """
+    masks = choices(classes.count(), budget)
+
+    def under(masks: list[int], first: int):
+        return F.explode(F.array(*[F.struct(F.lit(first + k).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("root")) for k, m in enumerate(masks)])).alias("r")
+
+    tries = classes.select(under(masks, 0), "fingerprint").select("r.choice", "r.root", "fingerprint")
+    large = cut(tries.groupBy("choice", "root").count().filter(F.col("count") > SPLIT).select("choice", "root"), "simhash-large")
+    if not large.count():
+        done(large)
+        return tries
+    again = tries.join(large, ["choice", "root"])
+    wholes = [m | p for m in masks for p in _parts(~m & ((1 << 64) - 1), budget + 1)]
+    each = F.array(*[F.lit(_signed(m)) for m in wholes])
+    finer = again.withColumn("k", F.explode(F.sequence(F.col("choice") * (budget + 1), F.col("choice") * (budget + 1) + budget)))
+    finer = finer.select((F.lit(len(masks)) + F.col("k")).alias("choice"), F.col("fingerprint").bitwiseAND(F.element_at(each, F.col("k") + 1)).alias("root"), "fingerprint")
+    return tries.join(large, ["choice", "root"], "left_anti").unionAll(finer)
+
+
+def _near(docs: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, key, fingerprint, first) for every row of docs: first is the doc_id and key of the first row of its component."""
+    rows = docs.select("doc_id", row_key().alias("key"), "text")
+    prints = cut(rows.mapInArrow(A.releasing(_fingerprinted), "doc_id long, key int, fingerprint long"), "simhash")
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))
+    classes = cut(prints.groupBy("fingerprint").agg(F.min(row).alias("least_row")), "simhash-classes")
+    tries = dealt(classes.select("fingerprint"), budget).repartition("choice", "root").sortWithinPartitions("choice", "root")
+    stars = components(tries.mapInArrow(A.releasing(_stars(budget)), "a long, b long"))
+    named = classes.join(stars, classes["fingerprint"] == stars["node"], "left").select("fingerprint", "least_row", F.coalesce("least", "fingerprint").alias("group"))
+    names = named.groupBy("group").agg(F.min("least_row").alias("first"))
+    return prints.join(named.join(names, "group").select("fingerprint", "first"), "fingerprint").select("doc_id", "key", "fingerprint", "first")
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fingerprint long, component_id) for every row of docs (doc_id, text)."""
-    prints = cut(docs.select("doc_id", "text").mapInArrow(_fingerprinted, "doc_id long, fingerprint long"), "simhash")
-    classes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_doc")), "simhash-classes")
-    masks = choices(classes.count(), budget)
-    roots = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("root")) for k, m in enumerate(masks)]))
-    dealt = classes.select(roots.alias("r"), "fingerprint").select("r.choice", "r.root", "fingerprint").repartition("choice", "root").sortWithinPartitions("choice", "root")
-    stars = components(dealt.mapInArrow(_stars(budget), "a long, b long"))
-    named = classes.join(stars, classes["fingerprint"] == stars["node"], "left").select("fingerprint", "least_doc", F.coalesce("least", "fingerprint").alias("group"))
-    names = named.groupBy("group").agg(F.min("least_doc").alias("component_id"))
-    return prints.join(named.join(names, "group").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return _near(docs, budget).select("doc_id", "fingerprint", F.col("first.doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id names a component of found (doc_id, component_id), once each, and those with a null doc_id."""
-    stay = cut(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_weir_id")).distinct(), "near-dedup-stay")
-    kept = docs.join(stay, docs["doc_id"] == stay["_weir_id"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
-    kept = kept.withColumn("_weir_row", first).filter("_weir_row = 1").drop("_weir_row")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """The rows of docs, all columns, that found (doc_id, key, first) names as the first of their component, once each, and those with a null doc_id."""
+    first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    stay = cut(found.filter(first).groupBy(F.col("doc_id").alias("_weir_id"), F.col("key").alias("_weir_text")).agg(F.count("*").alias("_weir_n")), "near-dedup-stay")
+
+    def kept(stay: DataFrame) -> DataFrame:
+        rows = docs.withColumn("_weir_key", row_key())
+        return rows.join(stay, (rows["doc_id"] == stay["_weir_id"]) & (rows["_weir_key"] == stay["_weir_text"]), "left_semi")
+
+    out = kept(stay.filter("_weir_n = 1")).drop("_weir_key")
+    repeated = stay.filter("_weir_n > 1")
+    if repeated.limit(1).count():  # rows alike in doc_id and text
+        place = F.row_number().over(Window.partitionBy("doc_id", "_weir_key").orderBy(F.lit(0)))
+        out = out.unionByName(kept(repeated).withColumn("_weir_row", place).filter("_weir_row = 1").drop("_weir_row", "_weir_key"))
+    return out.unionByName(docs.filter("doc_id is null"))
 
 
 def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The rows of docs, all columns, less near-duplicates: of each component the document of least doc_id stays, once.
+    """The rows of docs, all columns, less near-duplicates: of each component the row of least doc_id stays, once (of rows with one doc_id, one of them).
 
     Rows with a null doc_id all stay, as nothing tells them apart.
     """
-    return first_of_each(docs, near_duplicates(docs, budget))
+    return first_of_each(docs, _near(docs, budget))
 
 
 def op6_simhash_tries(spark, sf_dir: str) -> DataFrame:

@@ -1,23 +1,17 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-Every word starts a suffix. Suffixes are dealt to tasks by a prefix of variable length: 5 words as a
-rule, 10 where a 5-word prefix is frequent, all of MIN_WORDS where 10 words are too, and then salted.
-Each task sorts its suffixes, which lines up the leaves of its subtree; the internal nodes at depth
-MIN_WORDS are runs of equal leaves. A node's first leaf (least doc_id, then start) stays, all
-others are repeats; as starts run on, overlapping windows merge to the maximal repeats. Tasks read
-sorted suffixes as a stream, so a subtree's size never matters to memory.
-
-Most suffixes have no equal and need not be dealt at all. Every window of MIN_WORDS words has an
-anchor, the least hash of its ANCHOR-word runs; equal windows have equal anchors, so only windows
-whose anchor occurs twice or more in the corpus are candidates. Anchors are a sixth of the words.
-
-Windows are compared by 96-bit hashes of their words: among 10**13 windows one false match is expected
-once in some hundred corpora.
-
-Nulls and odd rows: a null text has no words; texts under MIN_WORDS words are kept whole; equal rows
-with one doc_id do not remove each other's words (rows with one doc_id should be copies, as spans are
-found by doc_id); rows with a null doc_id are kept whole and remove nothing. An empty table gives
-an empty result. Other columns are ignored.
+Every word starts a suffix; one that shares MIN_WORDS words or more with an earlier one is a repeat. Suffixes
+are dealt to tasks by a piece of ANCHOR words near their start, which those of a common node all
+have; where a piece is frequent its suffixes are dealt by document besides, so groups stay small
+(see repeats.py). Each task sorts its suffixes by their first MIN_WORDS words: the internal nodes at that depth
+are runs of equal leaves. A node's first leaf (least doc_id, then start) stays, all others are repeats;
+as starts run on, overlapping ones merge to the maximal repeats. Nodes at other depths decide
+nothing here and are not built, and leaves stand in the order of their hashes, not of their words.
+
+Nulls and odd rows: a null text has no words; texts under MIN_WORDS words are kept whole; rows with one
+doc_id do not remove each other's words, whether their texts are equal or not; rows with a null doc_id
+are kept whole and remove nothing. Texts and words may have any length, as a task holds one text at a
+time. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,187 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from weir.llm import arrow_words as A
-from weir.llm.common import cut, free
+from weir.llm.common import row_key
+from weir.llm.repeats import later_repeats
 
 MIN_WORDS = 20
-ANCHOR = 10
-PREFIXES = (5, 10)
-#: A prefix with more suffixes than this is lengthened; at MIN_WORDS words it is salted.
-FREQUENT = 100_000
-SALTS = 64
-#: One document in so many, by its text's hash, is looked at to plan the prefixes; results do not depend on it.
-PLAN_SHARE = 64
-
-
-def least_run(g: np.ndarray, width: int) -> np.ndarray:
-    """For each i the place of the first least value of g[i : i + width]."""
-    at, span = np.arange(len(g)), 1
-    while span < width:
-        step = min(span, width - span)
-        a, b = at[: len(at) - step], at[step:]
-        at = np.where(g[b] < g[a], b, a)
-        span += step
-    return at
-
-
-def anchors_of(words: A.Words, h: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts, the anchor's place for each, and the hash of the ANCHOR-word run at each word."""
-    starts = words.windows(min_words)
-    if not len(starts):
-        return starts, starts, np.zeros(0, np.uint64)
-    runs = A.run_hashes(h, np.arange(len(h) - ANCHOR + 1), ANCHOR, A.WINDOW_A)
-    return starts, least_run(runs, min_words - ANCHOR + 1)[starts], runs
-
-
-def _count_anchors(min_words: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in A.pieces(batch.column(0)):
-                words = A.Words(data, offsets)
-                h = words.hashes()
-                starts, at, runs = anchors_of(words, h, min_words)
-                if not len(starts):
-                    continue
-                value, n = np.unique(runs[np.unique(at)], return_counts=True)
-                kinds = [np.zeros(len(value), np.int8)]
-                values, counts = [value], [n]
-                first = np.minimum(words.first[:-1], len(h) - 1)
-                planned = np.repeat((h[first] % np.uint64(PLAN_SHARE) == 0), words.counts)
-                for k, size in enumerate(PREFIXES, 1):
-                    value, n = np.unique(A.run_hashes(h, starts[planned[starts]], size, A.WINDOW_A), return_counts=True)
-                    kinds.append(np.full(len(value), k, np.int8))
-                    values.append(value)
-                    counts.append(n)
-                yield pa.record_batch([np.concatenate(kinds), np.concatenate(values).view(np.int64), np.concatenate(counts).astype(np.int64)], ["kind", "hash", "n"])
-
-    return count
-
-
-def _place_anchors(min_words: int):
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
-            for row, _, data, offsets in A.pieces(batch.column(0)):
-                words = A.Words(data, offsets)
-                _, at, runs = anchors_of(words, words.hashes(), min_words)
-                if not len(at):
-                    continue
-                at = np.unique(at)
-                doc = np.searchsorted(words.first, at, "right") - 1
-                yield pa.record_batch([runs[at].view(np.int64), ids[row + doc].astype(np.int64), (at - words.first[doc]).astype(np.int32)], ["hash", "doc_id", "at"])
-
-    return place
-
-
-def _suffixes(min_words: int, frequent: tuple[np.ndarray, ...]):
-    """Candidate suffixes: those whose anchor's place is among the document's repeated ones."""
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            places = batch.column("places")
-            for row, end, data, offsets in A.pieces(batch.column("text")):
-                words = A.Words(data, offsets)
-                h = words.hashes()
-                starts, at, _ = anchors_of(words, h, min_words)
-                if not len(starts):
-                    continue
-                repeated = np.zeros(len(h), bool)
-                slice_ = places.slice(row, end - row)
-                repeated[slice_.flatten().to_numpy(zero_copy_only=False) + np.repeat(words.first[:-1], slice_.value_lengths().to_numpy(zero_copy_only=False))] = True
-                starts = starts[repeated[at]]
-                if not len(starts):
-                    continue
-                a = A.run_hashes(h, starts, min_words, A.WINDOW_A)
-                b = A.run_hashes(words.hashes(A.BASE_B), starts, min_words, A.WINDOW_B)
-                doc = np.searchsorted(words.first, starts, "right") - 1
-                start = starts - words.first[doc]
-                part = A.run_hashes(h, starts, PREFIXES[0], A.WINDOW_A)
-                salted = np.zeros(len(starts), bool)
-                deeper = np.isin(part, frequent[0])
-                if deeper.any():
-                    longer = A.run_hashes(h, starts, PREFIXES[1], A.WINDOW_A)
-                    salted = deeper & np.isin(longer, frequent[1])
-                    part = np.where(salted, A.mixed(a + (A.mixed(ids[row + doc].astype(np.uint64)) % np.uint64(SALTS))), np.where(deeper, longer, part))
-                yield pa.record_batch([(part >> np.uint64(48)).astype(np.int32), a.view(np.int64), b.astype(np.uint32).view(np.int32), ids[row + doc].astype(np.int64), start.astype(np.int32), salted], ["part", "a", "b", "doc_id", "start", "salted"])
-
-    return suffixes
-
-
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walks sorted leaves: all but the first of a node are repeats. The first of a salted node is given with its node."""
-    before: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b, doc, start, salted = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "doc_id", "start", "salted"))
-        head = np.ones(len(a), bool)
-        head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        if before is not None and (a[0], b[0]) == before[:2]:
-            head[0] = False
-        heads = np.flatnonzero(head)
-        own = np.searchsorted(heads, np.arange(len(a)), "right") - 1
-        fd, fs = (np.where(own >= 0, x[heads[own]] if len(heads) else 0, first) for x, first in ((doc, before[2] if before else 0), (start, before[3] if before else 0)))
-        repeat = ~((doc == fd) & (start == fs))
-        kept = head & salted
-        out = repeat | kept
-        yield pa.record_batch([doc[out], start[out], pa.array(a[out], mask=repeat[out]), pa.array(b[out], mask=repeat[out])], ["doc_id", "start", "a", "b"])
-        before = (a[-1], b[-1], fd[-1], fs[-1])
-
-
-def _spans(min_words: int):
-    """Sorted (doc_id, start) to one row for each document, with runs of removed words."""
-
-    def rows(ids: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-        new_doc = np.ones(len(ids), bool)
-        new_doc[1:] = ids[1:] != ids[:-1]
-        new = new_doc.copy()
-        new[1:] |= starts[1:] > starts[:-1] + min_words
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(ids)) - 1
-        docs = np.flatnonzero(new_doc)
-        offsets = np.append(np.searchsorted(first, docs), len(first)).astype(np.int32)
-        return pa.record_batch([pa.array(ids[docs]), pa.ListArray.from_arrays(offsets, starts[first]), pa.ListArray.from_arrays(offsets, (starts[last] + min_words).astype(np.int32))], ["doc_id", "starts", "ends"])
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        for batch in batches:
-            ids = np.concatenate([ids, batch.column(0).to_numpy(zero_copy_only=False)])
-            starts = np.concatenate([starts, batch.column(1).to_numpy(zero_copy_only=False)])
-            if len(ids) and (done := int(np.searchsorted(ids, ids[-1]))):
-                yield rows(ids[:done], starts[:done])
-                ids, starts = ids[done:], starts[done:]
-        if len(ids):
-            yield rows(ids, starts)
-
-    return spans
-
-
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, starts, ends): the words of each document that stand in a later repeat, as runs [start, end) in order."""
-    texts = docs.select("text", "doc_id").filter("doc_id is not null and text is not null")
-    counted = texts.select("text").mapInArrow(_count_anchors(min_words), "kind byte, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n"))
-    counted = cut(counted.filter(f"n > 1 and (kind = 0 or n > {FREQUENT // PLAN_SHARE})"), "suffix-anchors")
-    # at most (windows / FREQUENT) for each length
-    often = [np.array([r.hash for r in counted.filter(F.col("kind") == k).select("hash").collect()], np.int64).view(np.uint64) for k in (1, 2)]
-    placed = texts.mapInArrow(_place_anchors(min_words), "hash long, doc_id long, at int").join(counted.filter("kind = 0").select("hash"), "hash", "left_semi")
-    places = cut(placed.groupBy("doc_id").agg(F.collect_set("at").alias("places")), "suffix-places")
-    free(docs.sparkSession)
-    suffixes = texts.join(places, "doc_id").select("text", "doc_id", "places").mapInArrow(_suffixes(min_words, tuple(often)), "part int, a long, b int, doc_id long, start int, salted boolean")
-    return later_runs(suffixes, min_words)
+ANCHOR = 8
 
 
-def later_runs(leaves: DataFrame, length: int) -> DataFrame:
-    """(doc_id, starts, ends) from leaves (part, a, b, doc_id, start, salted): runs of what is covered by leaves of `length` items whose key (a, b) has an earlier (doc_id, start)."""
-    repeats = cut(leaves.repartition("part").sortWithinPartitions("a", "b", "doc_id", "start").mapInArrow(_repeats, "doc_id long, start int, a long, b int"), "later-repeats")
-    free(leaves.sparkSession)
-    firsts = repeats.filter("a is not null").withColumn("_first", F.min(F.struct("doc_id", "start")).over(Window.partitionBy("a", "b"))).filter("struct(doc_id, start) != _first")
-    covered = repeats.filter("a is null").select("doc_id", "start").unionAll(firsts.select("doc_id", "start"))
-    return covered.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_spans(length), "doc_id long, starts array<int>, ends array<int>")
+def _items(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words = A.Words(data, offsets)
+    h = words.hashes()
+    return h, h, words.first
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +61,11 @@ def _kept_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) or, with digest, kept_sha256 in place of kept: each document without its later repeats."""
-    spans = cut(repeated_spans(docs, min_words), "suffix-spans")
-    free(docs.sparkSession)
-    rows = docs.select("doc_id", "text").join(spans, "doc_id", "left")
+    spans = later_repeats(docs.select("doc_id", "text"), _items, min_words, min(ANCHOR, min_words))
+    rows = docs.select("doc_id", "text", row_key().alias("key")).join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "starts", "ends")
     if digest:
-        return rows.mapInArrow(_kept_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return rows.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
+        return rows.mapInArrow(A.releasing(_kept_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(A.releasing(_kept), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op5_suffix_trees(spark, sf_dir: str) -> DataFrame:
