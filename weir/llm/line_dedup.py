@@ -104,7 +104,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_words: int | None =
     spans = repeated_lines(docs, window, long_words)
     spans = spans.select(F.col("doc_id").alias("_weir_id"), F.col("key").alias("_weir_text"), *[F.col(c).alias(f"_weir_{c}") for c in _SPANS])
     rows = docs.withColumn("_weir_key", row_key())
-    rows = rows.join(spans, (rows["doc_id"] == spans["_weir_id"]) & (rows["_weir_key"] == spans["_weir_text"]), "left")
+    rows = rows.join(spans.hint("merge"), (rows["doc_id"] == spans["_weir_id"]) & (rows["_weir_key"] == spans["_weir_text"]), "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +126,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op4_line_winnowing(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.withColumn("key", row_key()).join(repeated_lines(docs), ["doc_id", "key"], "left")
+    rows = docs.withColumn("key", row_key()).join(repeated_lines(docs).hint("merge"), ["doc_id", "key"], "left")
     return rows.select("doc_id", "text", "starts", "ends").mapInArrow(A.releasing(_digests), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from weir.llm import arrow_words as A
 from weir.llm.common import cut, done, free, row_key
 
-#: One row in so many, by a hash of its text, is looked at for frequent anchors; results do not depend on it.
+#: One row in so many, by a hash of its doc_id, is looked at for frequent anchors; results do not depend on it.
 PLAN_SHARE = 16
 #: An anchor is frequent if it has this many leaves among those looked at, and a fair task's share or more.
 FREQUENT = 64
@@ -78,10 +78,11 @@ def _leaves(items: Items, size: int, anchor: int, often: np.ndarray, salts: int)
                     continue
                 text = np.searchsorted(first, start, "right") - 1
                 key = keys[row + text].astype(np.int32)
-                salt = np.where(np.isin(hash_, often), 1 + key % salts, 0)
+                ident = ids[row + text].astype(np.int64)
+                salt = np.where(np.isin(hash_, often), 1 + (A.mixed(ident.view(np.uint64)) % np.uint64(salts)).astype(np.int64), 0)
                 ends = np.append(0, np.cumsum(n) * 8).astype(np.int32)
                 bytes_ = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(runs.tobytes())])
-                yield pa.record_batch([hash_.view(np.int64), salt.astype(np.int32), ids[row + text].astype(np.int64), key, (start - first[text]).astype(np.int32), bytes_], ["hash", "salt", "doc_id", "key", "start", "runs"])
+                yield pa.record_batch([hash_.view(np.int64), salt.astype(np.int32), ident, key, (start - first[text]).astype(np.int32), bytes_], ["hash", "salt", "doc_id", "key", "start", "runs"])
 
     return A.releasing(leaves)
 
@@ -170,7 +171,7 @@ def _spans(size: int):
 
 def _frequent(texts: DataFrame, items: Items, size: int, anchor: int, tasks: int) -> np.ndarray:
     """Hashes of frequent anchors, sorted: at most FAIR for each task."""
-    counts = texts.filter(F.pmod("key", F.lit(PLAN_SHARE)) == 0).select("text").mapInArrow(_counted(items, size, anchor), "hash long, n long")
+    counts = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PLAN_SHARE)) == 0).select("text").mapInArrow(_counted(items, size, anchor), "hash long, n long")
     counts = cut(counts.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") > 1), "repeats-counts")
     fair = max(FREQUENT, (counts.agg(F.sum("n")).first()[0] or 0) // (FAIR * tasks))
     found = np.sort(np.array([r.hash for r in counts.filter(F.col("n") >= fair).select("hash").toLocalIterator()], np.int64).view(np.uint64))

@@ -62,7 +62,7 @@ def _kept_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) or, with digest, kept_sha256 in place of kept: each document without its later repeats."""
     spans = later_repeats(docs.select("doc_id", "text"), _items, min_words, min(ANCHOR, min_words))
-    rows = docs.select("doc_id", "text", row_key().alias("key")).join(spans, ["doc_id", "key"], "left").select("doc_id", "text", "starts", "ends")
+    rows = docs.select("doc_id", "text", row_key().alias("key")).join(spans.hint("merge"), ["doc_id", "key"], "left").select("doc_id", "text", "starts", "ends")
     if digest:
         return rows.mapInArrow(A.releasing(_kept_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return rows.mapInArrow(A.releasing(_kept), "doc_id long, n_words long, n_removed long, kept string")
