@@ -12,6 +12,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+T = TypeVar("T")
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads the bits of 64-bit numbers."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -36,10 +40,26 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """work for mapInArrow that gives its memory back at the end: workers stay for later tasks, and what they hold counts all the while."""
+#: What a process has loaded for its tasks, by name.
+_loaded: dict[str, object] = {}
+
+
+def loaded(name: str, make: Callable[[], T]) -> T:
+    """make() once for each process, until a task begins that does not keep the name."""
+    if name not in _loaded:
+        _loaded[name] = make()
+    return _loaded[name]
+
+
+def releasing(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow that gives its memory back at the end: workers stay for later tasks, and what they hold counts all the while.
+
+    What was loaded under other names than keep goes when it begins.
+    """
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [name for name in _loaded if name != keep]:
+            del _loaded[name]
         try:
             yield from work(batches)
         finally:

@@ -7,8 +7,10 @@ which is seen by undoing their merges, latest first, and is remembered for each
 fits, the last one is shortened; a place from which no way leads on is never tried again, so the
 work is linear in the piece. The result is the one exact merging gives.
 
-Segments of text (a word and its leading space, as a rule) recur, so their ids are remembered, up to
-REMEMBER of them a process. A segment starts at a space before other than white space, where
+Segments of text (a word and its leading space, as a rule) recur, so their ids are remembered: those of up to
+SHORT characters, in two generations of up to REMEMBER each, of which the older one goes when the
+younger is full. What recurs moves on to the younger one, so the memory holds frequent segments however
+much text a process sees. A segment starts at a space before other than white space, where
 the pattern always starts a match, so segments can be encoded one by one.
 
 Nulls and odd rows: a null text is an empty text and has no ids. An empty table gives an empty
@@ -26,13 +28,12 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
+from weir.llm import arrow_words as A
 from weir.llm.common import read
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-REMEMBER = 250_000
-
-_encoders: dict[tuple[str, str], BytePairs] = {}
+REMEMBER, SHORT = 100_000, 48
 
 
 class BytePairs(dict):
@@ -50,6 +51,7 @@ class BytePairs(dict):
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, bytes] = {}
         for rank in sorted(self.token):
             self._learn(rank)
         self.fits.clear()  # pairs judged while merges were missing
@@ -130,18 +132,24 @@ class BytePairs(dict):
         return ids
 
     def __missing__(self, segment: str) -> bytes:
-        if segment[-1:] in (".", ",") and segment[1:-1].isalpha() and (segment[0] == " " or segment[0].isalpha()):
-            ids = self[segment[:-1]] + self[segment[-1:]]  # letters, then a sign: two matches
-        else:
-            pieces = self.split(segment)
-            if len(pieces) > 1:
-                ids = b"".join(map(self.__getitem__, pieces))
-            else:
-                ids = b"".join(np.array(self.piece(piece), "<u4").tobytes() for piece in pieces)
-        if len(self) < REMEMBER:
+        ids = self.older.get(segment)
+        if ids is None:
+            ids = self.encoded(segment)
+        if len(segment) <= SHORT:
+            if len(self) >= REMEMBER:
+                self.older = dict(self)
+                self.clear()
             self[segment] = ids
         return ids
 
+    def encoded(self, segment: str) -> bytes:
+        if segment[-1:] in (".", ",") and segment[1:-1].isalpha() and (segment[0] == " " or segment[0].isalpha()):
+            return self[segment[:-1]] + self[segment[-1:]]  # letters, then a sign: two matches
+        pieces = self.split(segment)
+        if len(pieces) > 1:
+            return b"".join(map(self.__getitem__, pieces))
+        return b"".join(np.array(self.piece(piece), "<u4").tobytes() for piece in pieces)
+
     def encode(self, text: str) -> np.ndarray:
         parts = text.split(" ")
         segments = [parts[0]]
@@ -158,9 +166,7 @@ class BytePairs(dict):
 
 def encoder(path: str = RANKS, pattern: str = PATTERN) -> BytePairs:
     """One for each process and vocabulary."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = BytePairs(path, pattern)
-    return _encoders[path, pattern]
+    return A.loaded(f"bpe {path} {pattern}", lambda: BytePairs(path, pattern))
 
 
 def encoded(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
@@ -172,7 +178,7 @@ def encoded(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataF
             ids = [bpe.encode(text.as_py() or "").astype(np.int32) for text in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(A.releasing(encode, f"bpe {path} {pattern}"), "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str = RANKS) -> DataFrame:
@@ -183,7 +189,7 @@ def decoded(rows: DataFrame, path: str = RANKS) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([bpe.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text binary")
+    return rows.select("doc_id", "ids").mapInArrow(A.releasing(decode, f"bpe {path} {PATTERN}"), "doc_id long, text binary")
 
 
 def round_trips(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
@@ -200,7 +206,7 @@ def round_trips(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> D
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(listed, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(trips, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(A.releasing(trips, f"bpe {path} {pattern}"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:

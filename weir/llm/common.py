@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +45,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 #: Scratch tables that have not been deleted, and whom they were made for.
 _open: dict[str, str] = {}
 _owner: list[str] = [""]
+_later: list[tuple[str, Callable[[], None]]] = []
 
 
 @contextmanager
@@ -89,9 +90,18 @@ def sweep(spark: SparkSession, owner: str) -> None:
     """Deletes the tables made for owner so far. What was derived from them must have been written."""
     for path in [path for path, of in _open.items() if of == owner]:
         _delete(spark, path)
+    for of, work in [x for x in _later if x[0] == owner]:
+        work()
+        _later.remove((of, work))
     free(spark)
 
 
+def at_sweep(work: Callable[[], None]) -> None:
+    """Has work done by the sweep() that deletes the tables made now; nothing for those that no one sweeps."""
+    if _owner[-1]:
+        _later.append((_owner[-1], work))
+
+
 def row_key(text: str = "text") -> Column:
     """Tells rows of one doc_id apart by their texts."""
     return F.shiftright(F.xxhash64(text), 32).cast("int")

@@ -26,6 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.llm import arrow_words as A
 from weir.llm.common import BROADCAST_ROWS, read, scratch
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,8 +38,6 @@ FITS = 0.9
 PAGE = 1 << 16
 REMEMBER = 1_000_000
 
-_encoders: dict[str, Encoder] = {}
-
 
 class Encoder(dict):
     """UTF-8 word to the bytes of its ids, which are little-endian unsigned 32-bit numbers."""
@@ -92,12 +91,14 @@ class PlainEncoder(Encoder):
 
 def encoder(path: str) -> Encoder:
     """One for each process and vocabulary; the plain one where it agrees with the library on a probe of its rules."""
-    if path not in _encoders:
+
+    def made() -> Encoder:
         plain = PlainEncoder(path)
         probe = ["It", "éÀß", "word.", "naïve,", "ªµº", "x|", "A", "ÿþÐ", "ﬁ", "don't", "a1b22", "Ǆ", "é"]
         agrees = all(plain.ids(w) == np.array(plain.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in probe)
-        _encoders[path] = plain if agrees else Encoder(path)
-    return _encoders[path]
+        return plain if agrees else Encoder(path)
+
+    return A.loaded(f"words {path}", made)
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes]:
@@ -199,7 +200,7 @@ def _pages(path: str, end_id: int):
 def write_pages(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END) -> None:
     """Writes the ids of every document of docs (doc_id, text), each followed by end_id, as pages in ascending order of doc_id."""
     ordered = docs.select("doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    ordered.mapInArrow(_pages(tokenizer, end_id), PAGES).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(A.releasing(_pages(tokenizer, end_id), f"words {tokenizer}"), PAGES).write.option("compression", "uncompressed").parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +226,7 @@ def read_pages(spark, path: str) -> DataFrame:
     starts = sizes.select("part", "page", inside.alias("page_start")).join(parts, "part").select("part", "page", (F.col("part_start") + F.col("page_start")).alias("start"))
     if sizes.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    docs = pages.mapInArrow(_documents, "part string, page int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    docs = pages.mapInArrow(A.releasing(_documents), "part string, page int, doc_id long, before long, n_tokens long, ids_crc32 long")
     return docs.join(starts, ["part", "page"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
