@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -67,14 +68,14 @@ def arrive(spark, folder, rows):
     frame.df.coalesce(1).write.mode("append").parquet(folder)
 
 
-def stream(spark, folder, checkpoint, pipeline, seen):
+def stream(spark, folder, checkpoint, pipeline, seen, **how):
     df = spark.readStream.schema(f"record string, meta {META}").parquet(folder)
 
     def write(run, batch, number):
         for sink in run.sinks:
             seen.setdefault(sink, []).extend(ids(run, sink))
 
-    start(pipeline, Frame(df), write, checkpoint).awaitTermination()
+    start(pipeline, Frame(df), write, checkpoint, **how).awaitTermination()
 
 
 def test_stream_keeps_state_over_a_restart(spark, tmp_path):
@@ -96,9 +97,17 @@ def test_stream_counts_every_nth_over_a_restart(spark, tmp_path):
     assert sorted(seen["out"]) == [1, 4, 7]
 
 
-def test_stream_refuses_branches_before_state():
-    import pytest
+@pytest.mark.parametrize("ttl, kept", [(1, [1, 2]), (None, [1])])
+def test_stream_state_ends(spark, tmp_path, ttl, kept):
+    folder, checkpoint, seen = str(tmp_path / "in"), str(tmp_path / "state"), {}
+    pipeline = compiled("nodes:\n  - {id: d, type: dedupe, key: [k], window: 10s}\n  - {id: out, type: sink.memory}")
+    for ident in (1, 2):
+        arrive(spark, folder, [(1, ident * S, ident)])
+        stream(spark, folder, checkpoint, pipeline, seen, state_ttl_ms=ttl)
+    assert sorted(seen["out"]) == kept
 
+
+def test_stream_refuses_branches_before_state():
     with pytest.raises(StreamError):
         split(compiled("nodes:\n  - {id: f, type: filter, action: keep, condition: a == 1}\n  - {id: o, type: sink.memory}\n  - {id: d, type: dedupe, key: [a], window: 1s, from: f}\n  - {id: p, type: sink.memory}"))
     assert isinstance(compiled(STREAM).stages["d"], Dedupe)

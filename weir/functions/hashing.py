@@ -51,18 +51,19 @@ def _whole(high: Column, low: Column) -> Column:
 
 def fnv1a64(text: Column) -> Column:
     """FNV-1a of a text's UTF-8 bytes, as the BIGINT of the same bits."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    size = F.octet_length(text)
+    # made once for each text, outside of the fold: bytes as numbers
+    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    bytes_ = F.transform(pairs, lambda pair: F.conv(pair, 16, 10).cast("long"))
+
     # the prime is 2**40 + 0x1b3
-    def step(acc: Column, i: Column) -> Column:
-        low = acc["low"].bitwiseXOR(F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    def step(acc: Column, byte: Column) -> Column:
+        low = acc["low"].bitwiseXOR(byte)
         product = low * _lit(0x1B3)
         high = acc["high"] * _lit(0x1B3) + F.shiftright(product, 32) + F.shiftleft(low, 8)
         return F.struct(_and(high, _M).alias("high"), _and(product, _M).alias("low"))
 
     start = F.struct(_lit(FNV_OFFSET >> 32).alias("high"), _lit(FNV_OFFSET & _M).alias("low"))
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    return F.when(text.isNotNull(), F.aggregate(places, start, step, lambda acc: _whole(acc["high"], acc["low"])))
+    return F.aggregate(bytes_, start, step, lambda acc: _whole(acc["high"], acc["low"]))
 
 
 def _times(high: Column, low: Column, factor: int) -> tuple[Column, Column]:

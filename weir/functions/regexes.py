@@ -11,6 +11,9 @@ import re
 import warnings
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +25,11 @@ LIMITS = ("match", "depth", "heap_kib", "work", "input_bytes")
 
 
 class PatternError(ValueError):
-    """A pattern that cannot be read, or is too risky."""
+    """A pattern that cannot be read, that Spark's engine lacks, or that is too risky; code tells which."""
+
+    def __init__(self, message: str, code: str = "bad_pattern"):
+        super().__init__(message)
+        self.code = code
 
 
 @dataclass(frozen=True)
@@ -141,27 +148,63 @@ def compiled(source: str, limits: dict | None = None, on_redos_risk: str = "reje
     limits = limits or {}
     for key in limits:
         if key not in LIMITS:
-            raise PatternError(f"unknown field `{key}`, expected one of " + ", ".join(f"`{k}`" for k in LIMITS))
+            raise PatternError(f"there is no limit `{key}`; there are " + ", ".join(LIMITS), "unknown_field")
     if on_redos_risk not in ("reject", "warn"):
-        raise PatternError(f"unknown variant `{on_redos_risk}`, expected `reject` or `warn`")
+        raise PatternError(f"`on_redos_risk` is reject or warn, not `{on_redos_risk}`", "unknown_choice")
     if len(source.encode()) > MAX_PATTERN_BYTES:
-        raise PatternError(f"pattern is longer than {MAX_PATTERN_BYTES} bytes")
+        raise PatternError(f"it takes more than {MAX_PATTERN_BYTES} bytes", "too_large")
     if source.count("(") - source.count("\\(") > MAX_PARENTHESES:
-        raise PatternError(f"pattern has more than {MAX_PARENTHESES} parentheses")
+        raise PatternError(f"it opens more than {MAX_PARENTHESES} parentheses", "too_large")
+    if _RECURSION.search(re.sub(r"\\.", "", source, flags=re.DOTALL)):
+        raise PatternError("it refers to itself, which Spark's engine cannot", "unsupported_pattern")
     java, groups, linear = translate(source)
+    _accepted(java)
     if risk := lint(source):
         if on_redos_risk == "reject":
-            raise PatternError(f"ReDoS risk: {risk}")
+            raise PatternError(f"ReDoS risk: {risk}", "redos_risk")
         warnings.warn(f"pattern `{source}`: ReDoS risk: {risk}", stacklevel=2)
     return Pattern(source, java, groups, linear, int(limits.get("input_bytes", INPUT_BYTES)))
 
 
+_RECURSION = re.compile(r"\(\?(?:R|[+-]?\d+|&|P>)")
+
+
+def _accepted(java: str) -> None:
+    """Refuses what Java's engine does, where a Spark session is there to ask."""
+    spark = SparkContext._active_spark_context
+    if spark is None:
+        return
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(java)
+    except (Py4JJavaError, PySparkException) as e:
+        raise PatternError(str(e).split("\n")[0]) from None
+
+
+def _read_as(found: re.Match) -> str:
+    """An escape that Python's parser lacks as one that begins alike, as far as lint() looks."""
+    text = found[0]
+    if text[1] in "pP":
+        return r"\w" if text[1] == "p" else r"\W"
+    if text.startswith("\\x{"):
+        return f"\\U{int(text[3:-1], 16):08x}"
+    if text[1] == "k" and len(text) > 2:
+        return f"(?P={text[3:-1]})"
+    return {"\\z": r"\Z", "\\h": r"\s", "\\H": r"\S", "\\R": r"\n", "\\X": "."}.get(text, text)
+
+
+_ESCAPE = re.compile(r"\\(?:[pP](?:\{[^}]*\}|[A-Z])|x\{[0-9A-Fa-f]+\}|k[<{'][A-Za-z_]\w*[>}']|.)", re.DOTALL)
+
+
 def lint(source: str) -> str | None:
-    """What makes a pattern risky: a repeat inside a repeat, overlapping alternatives under a repeat, or adjoining repeats of overlapping sets."""
+    """What makes a pattern risky: a repeat inside a repeat, overlapping alternatives under a repeat, adjoining repeats of overlapping sets, or that it cannot be read here."""
+    text = re.sub(r"\(\?<([A-Za-z_]\w*)>", r"(?P<\1>", _ESCAPE.sub(_read_as, source))
+    text = re.sub(r"(?<!\\)\(\?[a-zA-Z-]+\)", "", text)  # flags change no shape
     try:
-        tree = re._parser.parse(re.sub(r"\(\?<([A-Za-z_]\w*)>", r"(?P<\1>", source))
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = re._parser.parse(text)
     except Exception:
-        return None  # what Python cannot read is left to the engine
+        return "its shape cannot be read, so nothing is known of its cost"
     return _risk(tree)
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 
 from weir.functions import conditions, paths, regexes
-from weir.plans.config import ConfigError
+from weir.plans.config import ConfigError, known_keys
 from weir.plans.frames import Frame
 
 PASS = ""
@@ -21,6 +21,8 @@ class Result:
     outputs: dict[str, Frame]
     dropped: dict[str, DataFrame] = field(default_factory=dict)
     counted: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
+    #: Persisted frames, which Run.close() gives back.
+    held: list[DataFrame] = field(default_factory=list)
 
 
 class Stage:
@@ -33,39 +35,60 @@ class Stage:
 
     def __init__(self, node: str, params: dict):
         self.node = node
-        for key in params:
-            if key not in self.required + self.optional:
-                raise self.error(f"unknown field `{key}`, expected one of " + ", ".join(f"`{k}`" for k in self.required + self.optional))
-        for key in self.required:
-            if key not in params:
-                raise self.error(f"missing field `{key}`")
+        known_keys(params, self.required, self.optional, node)
 
-    def error(self, message: object) -> ConfigError:
-        return ConfigError(f"node `{self.node}`: {message}")
+    def error(self, code: str, message: object) -> ConfigError:
+        return ConfigError(code, message, self.node)
 
     def choice(self, value: object, *known: str) -> str:
         if value not in known:
-            raise self.error(f"unknown variant `{value}`, expected " + " or ".join(f"`{k}`" for k in known))
+            raise self.error("unknown_choice", f"`{value}` is none of " + ", ".join(known))
         return str(value)
 
-    def path(self, text: str, where: str, target: bool = False) -> paths.Path:
+    def text(self, value: object, where: str) -> str:
+        if not isinstance(value, str):
+            raise self.error("wrong_type", f"{where} is a text, not {value!r}")
+        return value
+
+    def number(self, value: object, where: str, whole: bool = False) -> float:
+        if isinstance(value, bool) or not isinstance(value, int if whole else (int, float)):
+            raise self.error("wrong_type", f"{where} is a {'whole ' if whole else ''}number, not {value!r}")
+        return value
+
+    def listed(self, value: object, where: str) -> list:
+        """A list that is not empty."""
+        if not isinstance(value, list):
+            raise self.error("wrong_type", f"{where} is a list, not {value!r}")
+        if not value:
+            raise self.error("empty_list", f"{where} is an empty list")
+        return value
+
+    def mapping(self, value: object, where: str) -> dict:
+        if not isinstance(value, dict):
+            raise self.error("wrong_type", f"{where} is a mapping, not {value!r}")
+        return value
+
+    def path(self, text: object, where: str, target: bool = False) -> paths.Path:
         try:
             return paths.parse_target(text) if target else paths.parse(text)
         except paths.PathError as e:
-            raise self.error(f"{where}: {e}") from None
+            raise self.error("bad_path", f"{where}: {e}") from None
 
-    def pattern(self, text: str, params: dict) -> regexes.Pattern:
+    def pattern(self, text: object, params: dict) -> regexes.Pattern:
+        limits = self.mapping(params.get("limits") or {}, "`limits`")
+        for key, value in limits.items():
+            if self.number(value, f"`limits.{key}`", whole=True) < 0:
+                raise self.error("out_of_range", f"`limits.{key}` is below 0")
         try:
-            return regexes.compiled(text, params.get("limits"), params.get("on_redos_risk", "reject"))
+            return regexes.compiled(self.text(text, "a pattern"), limits, params.get("on_redos_risk", "reject"))
         except regexes.PatternError as e:
-            message = str(e)
-            raise self.error(message if message.startswith("unknown") else f"pattern `{text}`: {message}") from None
+            raise self.error(e.code, f"pattern `{text}`: {e}") from None
 
-    def condition(self, text: str, params: dict) -> Compiled:
+    def condition(self, text: object, params: dict) -> Compiled:
         try:
-            parsed = conditions.parse(text)
+            parsed = conditions.parse(self.text(text, "`condition`"))
         except conditions.ConditionError as e:
-            raise self.error(f"condition `{text}`: {e}") from None
+            raise self.error("bad_condition", f"condition `{text}`: {e}") from None
         return Compiled(parsed, {m.pattern: self.pattern(m.pattern, params) for m in conditions.patterns(parsed)})
 
     def apply(self, frame: Frame) -> Result:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +21,16 @@ from weir.plans.frames import Frame
 
 _UNITS = {"ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9}
 
+#: Bytes above which a key is replaced by its digest.
+LONG_KEY = 96
+
 Holder = tuple[int, int]
 
 
 def nanoseconds(text: object) -> int:
     found = re.fullmatch(r"(\d+)([a-z]*)", str(text))
-    if not found:
-        raise ValueError(f"window `{text}`: expected a whole number and a unit: `ms`, `s`, `m` or `h`")
-    if found[2] not in _UNITS:
-        raise ValueError(f"window `{text}`: needs a unit: `ms`, `s`, `m` or `h`")
-    if int(found[1]) < 1:
-        raise ValueError(f"window `{text}`: must be at least 1ms")
+    if not found or found[2] not in _UNITS or int(found[1]) < 1:
+        raise ValueError(f"`{text}` is no span of time; write a count from 1 and one of {', '.join(_UNITS)}, such as 90s")
     return int(found[1]) * _UNITS[found[2]]
 
 
@@ -45,8 +45,10 @@ def fold(times: np.ndarray, ids: np.ndarray, window: int, holder: Holder | None)
     """judge() over the records of one key in order."""
     out = np.zeros(len(times), bool)
     at = 0
-    if holder is not None or not (np.diff(times) >= 0).all():
-        while at < len(times) and (holder is None or times[at] - holder[0] < window or not (np.diff(times[at:]) >= 0).all()):
+    back = np.flatnonzero(np.diff(times) < 0)
+    in_order = int(back[-1]) + 1 if len(back) else 0  # from here on times do not fall
+    if holder is not None or in_order:
+        while at < len(times) and (holder is None or times[at] - holder[0] < window or at < in_order):
             out[at], holder = judge(holder, int(times[at]), int(ids[at]), window)
             at += 1
     while at < len(times):  # in order of time: jump from holder to holder
@@ -64,17 +66,18 @@ class Dedupe(Stage):
 
     def __init__(self, node: str, params: dict):
         super().__init__(node, params)
-        if not params["key"]:
-            raise self.error("`key` needs at least one field path")
-        self.key = [self.path(p, "`key`") for p in params["key"]]
+        self.key = [self.path(p, "`key`") for p in self.listed(params["key"], "`key`")]
         self.choice(params.get("on_state_error", "pass"), "pass", "nak")
         try:
             self.window = nanoseconds(params["window"])
         except ValueError as e:
-            raise self.error(e) from None
+            raise self.error("bad_window", e) from None
 
     def keyed(self, frame: Frame) -> DataFrame:
-        return frame.df.select(F.col("meta.tenant").alias("_tenant"), frame.shape.key(self.key).alias("_key"), "record", "meta")
+        """Long keys are told apart by their SHA-256, so that they need not be moved and compared as texts; no key looks like one."""
+        key = F.col("_key")
+        short = F.when(F.octet_length(key) > LONG_KEY, F.sha2(key, 256)).otherwise(key)
+        return frame.df.select(F.col("meta.tenant").alias("_tenant"), frame.shape.key(self.key).alias("_key"), "record", "meta").withColumn("_key", short)
 
     def apply(self, frame: Frame, arrival: Column | None = None) -> Result:
         """Batch: records of a key are judged in order of time and id, or of `arrival`.
@@ -91,17 +94,20 @@ class Dedupe(Stage):
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                tenants, keys = batch.column("_tenant").to_pylist(), batch.column("_key").to_pylist()
+                tenants, keys = batch.column("_tenant"), batch.column("_key")
                 meta = batch.column("meta")
                 times, ids = (meta.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("ingestion_time", "id"))
                 out = np.zeros(batch.num_rows, bool)
-                first = 0
-                for k in range(1, batch.num_rows + 1):
-                    if k < batch.num_rows and keys[k] == keys[first] and tenants[k] == tenants[first]:
-                        continue
-                    own = (tenants[first], keys[first])
-                    out[first:k], holder = fold(times[first:k], ids[first:k], window, holder if own == before else None)
-                    before, first = own, k
+                new = np.zeros(batch.num_rows - 1, bool)
+                for column in (tenants, keys):
+                    known, text = column.is_valid(), pc.fill_null(column, "")
+                    for x in (known, text):
+                        new |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+                ends = [*(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+                for first, end in zip([0, *ends], ends, strict=False):
+                    own = (tenants[first].as_py(), keys[first].as_py())
+                    out[first:end], holder = fold(times[first:end], ids[first:end], window, holder if own == before else None)
+                    before = own
                 yield batch.append_column("_pass", pa.array(out))
 
         ordered = keyed.repartition("_tenant", "_key").sortWithinPartitions("_tenant", "_key", *order)

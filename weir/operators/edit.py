@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from weir.functions import paths
 from weir.operators.base import PASS, Result, Stage
+from weir.plans.config import known_keys
 from weir.plans.frames import Frame, Structured, canonical, rewritten
 
 OPS = {"set": ("field", "value"), "rename": ("from", "to"), "copy": ("from", "to"), "hash": ("field",), "delete": ("fields",)}
@@ -24,35 +25,26 @@ class Edit(Stage):
     def __init__(self, node: str, params: dict):
         super().__init__(node, params)
         self.drop = self.choice(params.get("on_unapplied", "skip"), "skip", "drop") == "drop"
-        if not params["ops"]:
-            raise self.error("`ops` needs at least one operation")
         self.ops: list[tuple[str, dict]] = []
-        for k, entry in enumerate(params["ops"]):
+        for k, entry in enumerate(self.listed(params["ops"], "`ops`")):
             if not isinstance(entry, dict) or len(entry) != 1:
-                raise self.error(f"op {k}: one op per entry, one of {_NAMES}")
+                raise self.error("bad_op", f"op {k} is not one mapping with one of {_NAMES}")
             ((op, given),) = entry.items()
             if op not in OPS:
-                raise self.error(f"op {k}: unknown op `{op}`; use {_NAMES}")
+                raise self.error("bad_op", f"op {k}: `{op}` is none of {_NAMES}")
             where = f"op {k} (`{op}`)"
-            given = given or {}
-            for key in given:
-                if key not in OPS[op]:
-                    raise self.error(f"{where}: unknown field `{key}`, expected " + " or ".join(f"`{x}`" for x in OPS[op]))
-            for key in OPS[op]:
-                if key not in given:
-                    raise self.error(f"{where}: missing field `{key}`")
+            given = self.mapping(given or {}, where)
+            known_keys(given, tuple(OPS[op]), (), node, f"{where}: ")
             read = dict(given)
             for key in ("field", "from", "to"):
                 if key in given:
                     read[key] = self.path(given[key], f"{where}: `{key}`", target=not (op == "copy" and key == "from"))
             if op == "set" and isinstance(given["value"], (list, dict)):
-                raise self.error(f"{where}: `value` is a text, number, bool or null")
+                raise self.error("wrong_type", f"{where}: only a text, a number, a bool or null can be set")
             if op == "delete":
-                if not isinstance(given["fields"], list) or not given["fields"]:
-                    raise self.error(f"{where}: `fields` needs at least one path")
-                read["fields"] = [self.path(f, f"{where}: `fields`", target=True) for f in given["fields"]]
+                read["fields"] = [self.path(f, f"{where}: `fields`", target=True) for f in self.listed(given["fields"], f"{where}: `fields`")]
             if op in ("copy", "rename") and read["from"] == read["to"]:
-                raise self.error(f"{where}: `from` and `to` are the same field")
+                raise self.error("same_field", f"{where}: a field cannot become itself")
             self.ops.append((op, read))
 
     def apply(self, frame: Frame) -> Result:

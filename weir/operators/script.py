@@ -83,21 +83,23 @@ class Script(Stage):
     def __init__(self, node: str, params: dict):
         super().__init__(node, params)
         self.on_error = self.choice(params.get("on_error", "pass"), "pass", "drop", "nak")
-        self.limits = DEFAULTS | (params.get("limits") or {})
+        self.limits = DEFAULTS | self.mapping(params.get("limits") or {}, "`limits`")
         for key in self.limits:
             if key not in DEFAULTS:
-                raise self.error(f"unknown field `{key}`, expected one of " + ", ".join(f"`{k}`" for k in DEFAULTS))
-        self.source = params["source"]
+                raise self.error("unknown_field", f"there is no limit `{key}`; there are " + ", ".join(DEFAULTS))
+            if self.number(self.limits[key], f"`limits.{key}`", whole=True) < 1:
+                raise self.error("out_of_range", f"`limits.{key}` starts at 1")
+        self.source = self.text(params["source"], "`source`")
         try:
             tree = ast.parse(self.source)
         except SyntaxError as e:
-            raise self.error(f"syntax error: {node}:{e.lineno}: {e.msg}") from None
+            raise self.error("bad_script", f"line {e.lineno}: {e.msg}") from None
         for x in ast.walk(tree):
             name = "import" if isinstance(x, (ast.Import, ast.ImportFrom)) else x.id if isinstance(x, ast.Name) and x.id in FORBIDDEN else x.attr if isinstance(x, ast.Attribute) and x.attr.startswith("_") else None
             if name:
-                raise self.error(f"{node}:{x.lineno}: `{name}` is not available to scripts")
+                raise self.error("forbidden_name", f"line {x.lineno}: scripts cannot use `{name}`")
         if not any(isinstance(x, ast.FunctionDef) and x.name == "process" for x in tree.body):
-            raise self.error(f"{node}: the script must define a function `process(record, meta)`")
+            raise self.error("no_process", "the script defines no function `process(record, meta)`")
 
     def apply(self, frame: Frame) -> Result:
         frame = to_free_form(frame)
@@ -131,15 +133,17 @@ class Script(Stage):
                         verdicts.append(verdict)
                 yield pa.record_batch([pa.array(records, pa.string()), pa.array(metas, batch.schema.field("meta").type), pa.array(verdicts, pa.string())], ["record", "meta", "_verdict"])
 
-        made = frame.df.select("record", "meta").mapInArrow(run, f"record string, meta {META}, _verdict string")
+        # kept until Run.close(), so that the script runs once for all its outputs
+        made = frame.df.select("record", "meta").mapInArrow(run, f"record string, meta {META}, _verdict string").persist()
 
         def part(condition: str) -> DataFrame:
             return made.filter(condition).drop("_verdict")
 
         error = "_verdict not in ('pass', 'drop')"
         counted = {("script_errors_total", kind): part(f"_verdict = '{kind}'") for kind in ("instructions", "runtime", "output")}
-        if policy == "pass":
-            return Result({PASS: Frame(part("_verdict != 'drop'"))}, {"script_drop": part("_verdict = 'drop'")}, counted)
+        passed, dropped = Frame(part("_verdict != 'drop'" if policy == "pass" else "_verdict = 'pass'")), {"script_drop": part("_verdict = 'drop'")}
         if policy == "nak":
-            return Result({PASS: Frame(part("_verdict = 'pass'"))}, {"script_drop": part("_verdict = 'drop'")}, counted | {("failed", "stage_error"): part(error)})
-        return Result({PASS: Frame(part("_verdict = 'pass'"))}, {"script_drop": part("_verdict = 'drop'"), "script_error": part(error)}, counted)
+            counted |= {("failed", "stage_error"): part(error)}
+        if policy == "drop":
+            dropped |= {"script_error": part(error)}
+        return Result({PASS: passed}, dropped, counted, [made])

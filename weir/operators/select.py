@@ -35,12 +35,12 @@ class Route(Stage):
 
     def __init__(self, node: str, params: dict):
         super().__init__(node, params)
-        if not isinstance(params["routes"], dict) or not params["routes"]:
-            raise self.error("`routes` needs at least one label")
+        if not self.mapping(params["routes"], "`routes`"):
+            raise self.error("empty_list", "`routes` has no label")
         if "drop" in params["routes"]:
-            raise self.error("route label `drop` is reserved for `default: drop`")
-        self.default = params["default"]
-        self.routes = {label: self.condition(text, params) for label, text in params["routes"].items()}
+            raise self.error("reserved_label", "`drop` is what `default` says to drop records; no label is called that")
+        self.default = self.text(params["default"], "`default`")
+        self.routes = {self.text(label, "a label"): self.condition(text, params) for label, text in params["routes"].items()}
 
     def apply(self, frame: Frame) -> Result:
         label, over = F.lit(None).cast("string"), F.lit(False)

@@ -92,11 +92,9 @@ class Redact(Stage):
 
     def __init__(self, node: str, params: dict):
         super().__init__(node, params)
-        if not params["fields"]:
-            raise self.error("`fields` needs at least one path")
-        self.fields = [self.path(f, "`fields`", target=True) for f in params["fields"]]
+        self.fields = [self.path(f, "`fields`", target=True) for f in self.listed(params["fields"], "`fields`")]
         self.regex = self.pattern(params["pattern"], params)
-        self.replace = params["replace"]
+        self.replace = self.text(params["replace"], "`replace`")
 
     def apply(self, frame: Frame) -> Result:
         texts = [(p, t) for p in self.fields if (t := frame.shape.text(p)) is not None]

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from weir.operators import STAGES
 from weir.operators.base import PASS, Result, Stage, united
-from weir.plans.config import SOURCE, Config, ConfigError, Node, load, ordered
+from weir.plans.config import SOURCE, Config, ConfigError, Node, known_keys, load, ordered
 from weir.plans.frames import Frame
+from weir.sources import envelopes
 
 #: Sink types and the parameters they need; a sink's frame is given to the caller, or written by weir.sources.sinks.
 SINKS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
@@ -21,12 +22,23 @@ SINKS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
 }
 
 
+#: Source types and the settings they need. The frame a pipeline runs over is given by the caller; the settings say how envelopes become records.
+SOURCES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "memory": ((), ("tenant_prefix", "dlq_prefix", "codec")),
+    "nats": (("stream", "consumer"), ("url", "tenant_prefix", "dlq_prefix", "codec")),
+}
+CODECS = ("json", "text")
+
+
 class Registry:
-    """Stage types by name; a caller may add its own."""
+    """Stage, sink and source types by name; a caller may add its own."""
 
     def __init__(self):
         self.stages: dict[str, Callable[[str, dict], Stage]] = dict(STAGES)
-        self.sinks = dict(SINKS)
+        self.sinks, self.sources = dict(SINKS), dict(SOURCES)
+
+    def register_source(self, kind: str, required: tuple[str, ...] = (), optional: tuple[str, ...] = ()) -> None:
+        self.sources[kind] = (required, optional)
 
     def register_stage(self, kind: str, make: Callable[[str, dict], Stage]) -> None:
         self.stages[kind] = make
@@ -43,12 +55,23 @@ class Pipeline:
     nodes: list[Node]
     stages: dict[str, Stage]
 
+    def _source(self, key: str, default: str) -> str:
+        return (self.config.source or {}).get(key, default)
+
+    def intake(self, messages: DataFrame, header_prefix: str = "") -> envelopes.Intake:
+        """Envelopes to records by the codec and tenant prefix of the source block."""
+        return envelopes.intake(messages, self._source("codec", "json"), self._source("tenant_prefix", "logs"), header_prefix)
+
+    def dead_letters(self, failed: DataFrame, reason: str, max_deliver: int = 5, header_prefix: str = "") -> DataFrame:
+        """Failed envelopes of the last delivery, readdressed by the dead-letter prefix of the source block."""
+        return envelopes.dead_letters(failed, reason, self._source("dlq_prefix", "dlq"), max_deliver, header_prefix)
+
     @property
     def stateful(self) -> bool:
         return any(s.stateful for s in self.stages.values())
 
     def run(self, frame: Frame, share: bool = False) -> Run:
-        """The pipeline's plans over a frame. share persists what several nodes read, so it is computed once for all sinks."""
+        """The pipeline's plans over a frame. share persists what several nodes read, so it is computed once for all sinks; close() the run when all is read."""
         run = Run({}, {}, {})
         made: dict[tuple[str, str], Frame] = {(SOURCE, ""): frame}
         readers = [r for n in self.nodes for r in n.reads]
@@ -60,10 +83,12 @@ class Pipeline:
                 continue
             result = self.stages[node.id].apply(taken)
             run.results[node.id] = result
+            run.held += result.held
             for label, out in result.outputs.items():
                 name = f"{node.id}.{label}" if label != PASS else node.id
                 if share and readers.count(name) > 1:
                     out = Frame(out.df.persist())
+                    run.held.append(out.df)
                 made[node.id, label] = out
         return run
 
@@ -73,6 +98,12 @@ class Run:
     sinks: dict[str, Frame]
     results: dict[str, Result]
     taken: dict[str, DataFrame] = field(default_factory=dict)
+    held: list[DataFrame] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Gives back what was persisted for the run."""
+        while self.held:
+            self.held.pop().unpersist()
 
     def dropped(self) -> DataFrame:
         """(node, reason, record, meta) of every record that a stage dropped, records as JSON text."""
@@ -99,24 +130,35 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _check_source(config: Config, registry: Registry) -> None:
+    if config.source is None:
+        return
+    given = dict(config.source)
+    if (kind := given.pop("type", None)) not in registry.sources:
+        raise ConfigError("unknown_type", f"there is no source of type `{kind}`; there are " + ", ".join(registry.sources))
+    known_keys(given, *registry.sources[kind], where="source: ")
+    for key, value in given.items():
+        if not isinstance(value, str):
+            raise ConfigError("wrong_type", f"source: `{key}` is a text, not {value!r}")
+    if given.get("codec", "json") not in CODECS:
+        raise ConfigError("unknown_choice", f"source: `{given['codec']}` is none of " + ", ".join(CODECS))
+
+
 def compiled(text: str, registry: Registry | None = None) -> Pipeline:
     """Loads a pipeline from YAML, or says what is wrong with it."""
     registry = registry or Registry()
     config = load(text)
+    _check_source(config, registry)
     stages: dict[str, Stage] = {}
     for node in config.nodes:
         if node.is_sink:
             if node.type not in registry.sinks:
-                raise ConfigError(f"node `{node.id}` has unknown type `{node.type}`")
-            required, optional = registry.sinks[node.type]
-            for key in node.params:
-                if key not in required + optional:
-                    raise ConfigError(f"node `{node.id}`: unknown field `{key}`, expected one of " + ", ".join(f"`{k}`" for k in required + optional))
-            for key in required:
-                if key not in node.params:
-                    raise ConfigError(f"node `{node.id}`: missing field `{key}`")
+                raise ConfigError("unknown_type", f"there is no sink of type `{node.type}`", node.id)
+            known_keys(node.params, *registry.sinks[node.type], node.id)
+            if node.params.get("encoding", "json") not in CODECS:
+                raise ConfigError("unknown_choice", f"`{node.params['encoding']}` is none of " + ", ".join(CODECS), node.id)
         elif node.type not in registry.stages:
-            raise ConfigError(f"node `{node.id}` has unknown type `{node.type}`")
+            raise ConfigError("unknown_type", f"there is no stage of type `{node.type}`", node.id)
         else:
             stages[node.id] = registry.stages[node.type](node.id, node.params)
     return Pipeline(config, ordered(config), stages)

@@ -42,19 +42,31 @@ def split(pipeline: Pipeline) -> tuple[list[str], Pipeline]:
     return chain, Pipeline(pipeline.config, rest, {n.id: pipeline.stages[n.id] for n in rest if n.id in pipeline.stages})
 
 
-def start(pipeline: Pipeline, source: Frame, write: Callable[[Run, DataFrame, int], None], checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Runs a pipeline over a streaming frame. write(run, batch, number) is called for every micro-batch."""
+def start(pipeline: Pipeline, source: Frame, write: Callable[[Run, DataFrame, int], None], checkpoint: str, state_ttl_ms: int | None = None, **trigger: object) -> StreamingQuery:
+    """Runs a pipeline over a streaming frame. write(run, batch, number) is called for every micro-batch.
+
+    State of a key ends when it was not written for state_ttl_ms of the clock; without it, see weir.streaming.stateful.
+    """
     chain, rest = split(pipeline)
     frame = source
     for node in chain:
         stage = pipeline.stages[node]
-        frame = stateful_stage(stage, frame) if stage.stateful else stage.apply(frame).outputs[PASS]
+        frame = stateful_stage(stage, frame, state_ttl_ms) if stage.stateful else stage.apply(frame).outputs[PASS]
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
+        run = rest.run(Frame(df))
         try:
-            write(rest.run(Frame(df)), df, number)
+            write(run, df, number)
         finally:
+            run.close()
             df.unpersist()
 
-    return frame.df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    # state that ends by the clock would ask for one batch without data after another, and no query would ever be done
+    conf, key = frame.df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return frame.df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        conf.set(key, before)
