@@ -1,6 +1,7 @@
 """Mixing, fingerprints, sharding and host rules."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -100,6 +101,38 @@ def test_sharding(spark):
     assert len(sharding.hilbert_shards(frame(spark, made()[:5])).collect()) == 5
 
 
+@pytest.mark.parametrize("ids", [[-(2**62), 2**62], [0, 2**61, 5], [-(2**63), 2**63 - 1, None, None, 1], [None] * 6])
+def test_sharding_of_wide_and_null_ids(spark, ids):
+    table = [(i, f"t {k}", "en", None, 1) for k, i in enumerate(ids)] * 3
+    got = sharding.hilbert_shards(frame(spark, table)).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == len(table) and max(counts.values()) - min(counts[k] for k in range(8)) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(counts[k])) for k in range(8))
+
+
+def test_sharding_of_more_values_than_are_broadcast(spark, monkeypatch):
+    few = {r.doc_id: (r.shard, r.slot) for r in sharding.hilbert_shards(frame(spark)).collect()}
+    for module in (sharding, common):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.hilbert_shards(frame(spark)).collect()} == few
+
+
+def test_one_bad_host_among_many_is_rejected(spark):
+    good, bad = "\n".join(" ".join(f"w{j}x{k}" for j in range(20)) for k in range(4)), "a b"
+    rows = [(100 * h + k, f"{good} {h} {k}" if k >= (9 if h == 3 else 1) else bad, "en", f"h{h}", 0) for h in range(12) for k in range(12)]
+    got = host_rules.host_rules(frame(spark, rows)).collect()
+    assert {r.host for r in got if not r.host_kept} == {"h3"}
+    assert all(r.kept == (not r.base_failed and r.host != "h3") for r in got)
+    even = [(100 * h + k, bad if k < 3 else f"{good} {h} {k}", "en", f"h{h}", 0) for h in range(12) for k in range(12)]
+    assert all(r.host_kept for r in host_rules.host_rules(frame(spark, even)).collect())
+
+
+def test_duplicate_lines_are_counted_by_line(spark):
+    line = " ".join(f"w{k}" for k in range(30))
+    row = host_rules.measured(frame(spark, [(1, "\n".join([line, line, "", line]), "en", "h", 0)])).withColumn("fails", host_rules.fails_a_rule()).first()
+    assert (row.n_lines, row.n_dup_lines, row.fails) == (3, 2, True)
+
+
 def test_sharding_in_sql_order(spark):
     """The cell of every document, by a plain reading of the quantisation."""
     rows = made()
@@ -114,10 +147,11 @@ def test_sharding_in_sql_order(spark):
         return out
 
     by_source, by_lang = bins([r[3] for r in rows]), bins([r[2] for r in rows])
-    low, high = min(r[0] for r in rows), max(r[0] for r in rows)
+    ids = sorted(r[0] for r in rows)
+    edges = [ids[math.ceil(k / 8 * n) - 1] for k in range(1, 8)]
     for r in rows:
         size = len((r[1] or "").encode()) + 1
-        point = (by_source[r[3]], by_lang[r[2]], min(max(size.bit_length() - 7, 0), 7), (r[0] - low) * 8 // (high - low + 1))
+        point = (by_source[r[3]], by_lang[r[2]], min(max(size.bit_length() - 7, 0), 7), sum(r[0] > e for e in edges))
         assert got[r[0]] == sharding.hilbert_index(point)
 
 

@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Rounds of odd copies, and of these the last that may give a document another one.
 ROUNDS, AGAIN = 5, 2
-#: Hexadecimal digits of the hash that make a bucket: 4,096 buckets a source.
+#: Hexadecimal digits of the hash that make a bucket: 4,096 buckets a source, and as many in the one that is refined.
 DIGITS = 3
 
 
@@ -64,31 +64,41 @@ def odd_copies(rounds: Column, size: Column, h: Column, copies: Column, max_repe
     return F.aggregate(rounds, F.lit(0), one)
 
 
+def _boundary(rows: DataFrame, bucket: str) -> DataFrame:
+    """(source, at, below): the bucket in which what is left runs out (null if it lasts), and the words taken before it; rows have below of their own."""
+    upto = F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy(bucket))
+    return (
+        rows.groupBy("source", "left", "below", bucket)
+        .agg(F.sum("size").alias("size"))
+        .withColumn("upto", upto)
+        .groupBy("source", F.col("below").alias("_from"))
+        .agg(F.min(F.when(F.col("upto") > F.col("left"), F.col(bucket))).alias("at"), F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))).alias("below"))
+        .select("source", "at", F.coalesce("below", "_from").alias("below"))
+    )
+
+
 def _threshold(docs: DataFrame, plan: DataFrame, max_repeats: int, again: bool, last: bool) -> DataFrame:
     """plan with one more round: the hash at which each source's remaining budget runs out."""
     left = lookup(docs.filter("size > 0"), plan, "source", F.col("h")).filter(F.col("size") <= F.col("left"))
     had = odd_copies(F.col("rounds"), F.col("size"), F.col("h"), F.col("copies"), max_repeats)
     left = left.filter(F.col("copies") + had < max_repeats if again else had == 0).select("source", "left", "size", "h", F.substring("h", 1, DIGITS).alias("bucket"))
-    boundary = (
-        left.groupBy("source", "left", "bucket")
-        .agg(F.sum("size").alias("size"))
-        .withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")))
-        .groupBy("source")
-        .agg(F.min(F.when(F.col("upto") > F.col("left"), F.col("bucket"))).alias("at"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))), F.lit(0)).alias("below"))
-    )
-    boundary = cut(boundary, "mix-boundary")
-    # refined: only the documents of the bucket in which the budget runs out
+    boundary = cut(_boundary(left.withColumn("below", F.lit(0)), "bucket"), "mix-boundary")
+    # the bucket in which the budget runs out, cut into as many buckets again
+    inside = lookup(left.select("*", F.substring("h", 1, 2 * DIGITS).alias("finer")), boundary, "source", F.col("h")).filter(F.col("bucket") == F.col("at")).drop("at", "bucket")
+    inside = cut(inside, "mix-inside")
+    finer = cut(_boundary(inside, "finer"), "mix-boundary")
+    # refined: only the documents of the finer bucket in which the budget runs out
     over = F.col("upto") > F.col("left")
     refined = (
-        lookup(left, boundary, "source", F.col("h"))
-        .filter(F.col("bucket") == F.col("at"))
+        lookup(inside.drop("below"), finer, "source", F.col("h"))
+        .filter(F.col("finer") == F.col("at"))
         .groupBy("source", "left", "below", "h")
         .agg(F.sum("size").alias("size"))
         .withColumn("upto", F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy("h")))
         .groupBy("source")
         .agg(F.min(F.when(over, F.col("h"))).alias("stop"), F.min(F.when(over, F.col("upto"))).alias("after"), F.max(F.when(~over, F.col("upto"))).alias("reached"))
     )
-    b, r = boundary.withColumnRenamed("source", "_b"), refined.withColumnRenamed("source", "_r")
+    b, r = boundary.select(F.col("source").alias("_b"), "below").join(finer.select(F.col("source").alias("_f"), F.col("below").alias("_finer")), F.col("_b").eqNullSafe(F.col("_f")), "left").select("_b", F.coalesce("_finer", "below").alias("below")), refined.withColumnRenamed("source", "_r")
     steps = plan.join(b, plan["source"].eqNullSafe(b["_b"]), "left").join(r, plan["source"].eqNullSafe(r["_r"]), "left")
     reached = F.coalesce("reached", "below", F.lit(0))
     edge = F.when((F.col("after") - F.col("left")) < (F.col("left") - reached), F.col("stop")) if last else F.lit(None).cast("string")

@@ -1,6 +1,7 @@
 """Sharding along a Hilbert curve (DataFrame operations only).
 
-Four metadata dimensions (source, language, size, doc_id) are quantised to three bits each, the
+Four metadata dimensions (source, language, size, doc_id) are quantised to three bits each (doc_id by
+approximate eighths of its values, so that outlying ids do not empty the dimension), the
 documents are ordered by the index of their cell on a Hilbert curve through those dimensions,
 and the order is cut into runs of equal row counts. Neighbours on the curve are neighbours in
 every dimension, so each shard covers a small box and files can be skipped by a filter on any
@@ -10,6 +11,8 @@ The order is global, yet nothing is sorted globally: rows are counted by cell an
 running totals of those bounded counts give each small group its first rank, and only groups are
 ordered inside. A hot cell is spread over 256 groups.
 
+Texts may have any length, as only their sizes and checksums move.
+
 Nulls and odd rows: null source or language come last in their dimension, a null doc_id counts as
 the smallest; a null text has size 1. Rows alike in everything are interchangeable. Equal texts
 need not meet in a shard, as the law is `rows`. An empty table gives an empty result.
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import cut, lookup
+from weir.llm.common import BROADCAST_ROWS, cut, lookup
 
 SHARDS = 8
 BITS = 3
@@ -63,19 +66,29 @@ def curve(bits: int = BITS, dimensions: int = len(DIMENSIONS)) -> list[int]:
 
 def _shares(rows: DataFrame, column: str, out: str) -> DataFrame:
     """(value, bin): values in order, null last, cut into bins of about equal row counts."""
-    n = F.sum("count").over(Window.partitionBy())
-    before = F.sum("count").over(Window.orderBy(F.asc_nulls_last(column))) - F.col("count")
-    return cut(rows.groupBy(column).count().select(column, F.floor(before * (1 << BITS) / n).cast("int").alias(out)), f"hilbert-{column}")
+    counts = cut(rows.groupBy(column).count(), f"hilbert-{column}")
+    n = counts.agg(F.sum("count")).first()[0] or 1
+    if counts.count() <= BROADCAST_ROWS:  # few enough to be ranked in one task
+        before = F.sum("count").over(Window.orderBy(F.asc_nulls_last(column))) - F.col("count")
+        return cut(counts.select(column, F.floor(before * (1 << BITS) / F.lit(n)).cast("int").alias(out)), f"hilbert-{column}")
+    # ranges of values, their totals, and running totals inside each
+    ranged = counts.repartitionByRange(F.asc_nulls_last(column)).withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged, f"hilbert-{column}")
+    totals = ranged.groupBy("_range").agg(F.sum("count").alias("_all"))
+    first = totals.select(F.col("_range").alias("_of"), (F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).alias("_first"))
+    inside = F.sum("count").over(Window.partitionBy("_range").orderBy(F.asc_nulls_last(column))) - F.col("count")
+    placed = ranged.withColumn("_inside", inside).join(F.broadcast(first), F.col("_range") == F.col("_of"))
+    return cut(placed.select(column, F.floor((F.col("_first") + F.col("_inside")) * (1 << BITS) / F.lit(n)).cast("int").alias(out)), f"hilbert-{column}")
 
 
 def quantised(rows: DataFrame) -> DataFrame:
     """rows (doc_id, source, lang, size) with their cell's index on the curve."""
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    edges = rows.select(F.percentile_approx("doc_id", [k / (1 << BITS) for k in range(1, 1 << BITS)], 10_000)).first()[0] or []
     top = (1 << BITS) - 1
     for column in ("source", "lang"):
         rows = lookup(rows, _shares(rows, column, f"_{column}"), column, F.col("doc_id"))
     by_size = F.least(F.greatest(F.length(F.bin("size")) - 7, F.lit(0)), F.lit(top))
-    by_id = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) * (top + 1) / F.lit((high or 0) - (low or 0) + 1)), F.lit(0)).cast("int")
+    by_id = sum((F.coalesce(F.col("doc_id") > F.lit(edge), F.lit(False)).cast("int") for edge in edges), F.lit(0))
     cell = ((F.col("_source") * (top + 1) + F.col("_lang")) * (top + 1) + by_size) * (top + 1) + by_id
     return rows.withColumn("curve", F.element_at(F.lit(curve()), (cell + 1).cast("int")).cast("int")).drop("_source", "_lang")
 
@@ -95,7 +108,7 @@ def ranked(rows: DataFrame, order: str, ties: list[Column]) -> DataFrame:
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, source, lang, size, text_crc32, curve, shard, slot) for every row of docs, counts by shard at most one apart."""
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    rows = docs.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))).alias("h"))
     rows = cut(quantised(cut(rows, "hilbert-rows")), "hilbert-cells")
     n = max(1, rows.count())
     placed = ranked(rows, "curve", [F.col("h"), F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("source"), F.col("lang")])
