@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -196,6 +197,50 @@ def test_script_outcomes(spark):
     assert run(frame, SCRIPT % "nak").results["p"].counted["failed", "stage_error"].count() == 4
 
 
+def test_script_state_is_per_tenant_and_expires(spark):
+    source = """
+  - id: p
+    type: script
+    source: |
+      def process(record, meta):
+          log.info("seen")
+          first = state.set_nx("first:" + record["k"], record["n"], 10)
+          if state.get("gone") is None and record["k"] == "d":
+              state.delete("first:d")
+          return {"first": first, "count": state.incr("n", 1, 5), "n": record["n"]}
+"""
+    rows = [{"k": "a", "n": 0}, {"k": "a", "n": 1}, {"k": "a", "n": 2}, {"k": "a", "n": 3}, {"k": "d", "n": 4}, {"k": "d", "n": 5}]
+    ms = 10**6
+    frame = free(spark, rows, tenants=["t", "t", "u", "t", "t", "t"], times=[0, 4 * ms, 4 * ms, 12 * ms, 13 * ms, 14 * ms])
+    got = records(run(frame, source))
+    assert [(got[k]["first"], got[k]["count"]) for k in range(6)] == [(None, 1), ("0", 2), (None, 1), (None, 1), (None, 2), (None, 3)]
+
+
+def test_failures_are_told_traced_and_sent_to_dead_letters(spark):
+    from weir.sources.envelopes import ENVELOPE
+
+    pipeline = compiled("nodes:\n  - {id: p, type: script, on_error: nak, source: 'def process(r, m): return {\"x\": 1 / r[\"d\"]}'}\n  - {id: a, type: sink.memory, from: p}\n  - {id: b, type: sink.memory, from: p}")
+    messages = spark.createDataFrame([("logs.t.x", {"Record-Id": [str(k)]}, json.dumps({"d": k % 3}).encode(), 5, 5 if k < 4 else 1) for k in range(1, 7)], ENVELOPE)
+    taken = pipeline.intake(messages)
+    done = pipeline.run(taken.frame)
+    assert sorted((r.node, r.kind, r.meta.id) for r in done.failed().collect()) == [("p", "stage_error", 3), ("p", "stage_error", 6)]
+    letters = pipeline.dead_letters_of(done, messages).collect()
+    assert [(r.subject, r.headers["Dlq-Reason"]) for r in letters] == [("dlq.t", ["stage_error"])]
+    ends = sorted((r.node, r.outcome) for r in done.traces(0.000001).collect())
+    assert ends == [("p", "failed: stage_error")] * 2
+    done.close()
+    assert not done.held
+
+
+def test_a_script_runs_once_for_all_its_outputs(spark):
+    frame = free(spark, [{"k": k} for k in range(20)])
+    pipeline = compiled("nodes:\n  - {id: p, type: script, source: 'def process(r, m): return {\"now\": now_ns()}'}\n  - {id: a, type: sink.memory, from: p}\n  - {id: b, type: sink.memory, from: p}")
+    done = pipeline.run(frame)
+    a, b = ({r.record for r in done.sinks[s].df.collect()} for s in "ab")
+    done.close()
+    assert a == b and len(a) > 1
+
+
 def test_ledger_balances(spark):
     r = QUERIES["full_dag"](spark, "/root/testdata/sf0.001")
     assert r.count() > 0

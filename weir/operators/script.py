@@ -3,12 +3,18 @@
 The source defines `process(record, meta)`, which returns the record (pass), None (drop) or a list of
 records (split). It runs over Arrow batches in the Python workers, without imports and without names
 that reach outside; that keeps honest scripts honest and is no sandbox for hostile ones.
+
+A script that names `state` has a store of its tenant's: get, set_nx, incr and delete, with times to live that
+run by the records' ingestion times. Its tenants are dealt to tasks and their records read in order of
+time and id, so a tenant is one task's work; what has expired leaves the store. log.info and log.warn write to the worker's
+log.
 """
 
 from __future__ import annotations
 
 import ast
 import json
+import logging
 import math
 import sys
 import time
@@ -47,12 +53,52 @@ def checked(value: object, limit: int, depth: int = 0) -> object:
     return value
 
 
-def compiled(source: str, instructions: int) -> Callable[[object, dict], object]:
+class State:
+    """The store of one tenant and node. Values are texts; times to live are in milliseconds."""
+
+    def __init__(self):
+        self._held: dict[str, tuple[str, int]] = {}
+        self._now, self._swept = 0, 0
+
+    def _at(self, now: int) -> None:
+        """Sets the time, in nanoseconds; what has expired goes whenever the store has doubled since the last time."""
+        self._now = now
+        if len(self._held) > 2 * self._swept + 1000:
+            self._held = {k: v for k, v in self._held.items() if v[1] > now}
+            self._swept = len(self._held)
+
+    def get(self, key: str) -> str | None:
+        value, end = self._held.get(key, (None, 0))
+        return value if end > self._now else None
+
+    def set_nx(self, key: str, value: object, ttl_ms: int) -> str | None:
+        """Sets a value where there is none; else gives the one there is."""
+        if (there := self.get(key)) is None:
+            self._held[key] = (str(value), self._now + ttl_ms * 10**6)
+        return there
+
+    def incr(self, key: str, by: int, ttl_ms: int) -> int:
+        """Adds to a whole number, from 0, and begins its time to live anew."""
+        value = int(self.get(key) or 0) + by
+        self._held[key] = (str(value), self._now + ttl_ms * 10**6)
+        return value
+
+    def delete(self, key: str) -> None:
+        self._held.pop(key, None)
+
+
+class Log:
+    def __init__(self, node: str):
+        logger = logging.getLogger(f"weir.script.{node}")
+        self.info, self.warn = logger.info, logger.warning
+
+
+def compiled(source: str, instructions: int, node: str = "", state: State | None = None) -> Callable[[object, dict], object]:
     """The script's process(), stopped after so many lines."""
     import builtins
 
     allowed = {n: getattr(builtins, n) for n in dir(builtins) if not n.startswith("_") and n not in FORBIDDEN}
-    space = {"__builtins__": allowed, "json_null": None, "now_ns": time.time_ns, "math": math}
+    space = {"__builtins__": allowed, "json_null": None, "now_ns": time.time_ns, "math": math, "state": state, "log": Log(node)}
     exec(compile(source, "script", "exec"), space)
     process = space["process"]
 
@@ -98,19 +144,30 @@ class Script(Stage):
             name = "import" if isinstance(x, (ast.Import, ast.ImportFrom)) else x.id if isinstance(x, ast.Name) and x.id in FORBIDDEN else x.attr if isinstance(x, ast.Attribute) and x.attr.startswith("_") else None
             if name:
                 raise self.error("forbidden_name", f"line {x.lineno}: scripts cannot use `{name}`")
+        self.stateful = any(isinstance(x, ast.Name) and x.id == "state" for x in ast.walk(tree))
+        self.choice(params.get("on_state_error", "nak"), "pass", "nak")
+        if "on_state_error" in params and not self.stateful:
+            raise self.error("no_state", "`on_state_error` is for scripts that use `state`")
         if not any(isinstance(x, ast.FunctionDef) and x.name == "process" for x in tree.body):
             raise self.error("no_process", "the script defines no function `process(record, meta)`")
 
     def apply(self, frame: Frame) -> Result:
         frame = to_free_form(frame)
+        node, stateful = self.node, self.stateful
         source, instructions, output, policy = self.source, self.limits["instructions"], self.limits["output_kib"] * 1024, self.on_error
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            process = compiled(source, instructions)
+            process, tenant = compiled(source, instructions, node), None
+            state = None
             for batch in batches:
                 records, metas, verdicts = [], [], []
                 for text, meta in zip(batch.column("record").to_pylist(), batch.column("meta").to_pylist(), strict=True):
                     record = json.loads(text)
+                    if stateful and (state is None or meta["tenant"] != tenant):
+                        state, tenant = State(), meta["tenant"]
+                        process = compiled(source, instructions, node, state)
+                    if stateful:
+                        state._at(meta["ingestion_time"] or 0)
                     try:
                         made = process(record, {k: _plain(v) for k, v in meta.items()})
                         if isinstance(made, bool) and not isinstance(json.loads(text), bool):
@@ -134,7 +191,10 @@ class Script(Stage):
                 yield pa.record_batch([pa.array(records, pa.string()), pa.array(metas, batch.schema.field("meta").type), pa.array(verdicts, pa.string())], ["record", "meta", "_verdict"])
 
         # kept until Run.close(), so that the script runs once for all its outputs
-        made = frame.df.select("record", "meta").mapInArrow(run, f"record string, meta {META}, _verdict string").persist()
+        rows = frame.df.select("record", "meta")
+        if stateful:
+            rows = rows.repartition("meta.tenant").sortWithinPartitions("meta.tenant", "meta.ingestion_time", "meta.id")
+        made = rows.mapInArrow(run, f"record string, meta {META}, _verdict string").persist()
 
         def part(condition: str) -> DataFrame:
             return made.filter(condition).drop("_verdict")

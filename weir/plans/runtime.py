@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.functions import traces
 from weir.operators import STAGES
-from weir.operators.base import PASS, Result, Stage, united
+from weir.operators.base import PASS, Result, Stage, to_free_form, united
 from weir.plans.config import SOURCE, Config, ConfigError, Node, known_keys, load, ordered
 from weir.plans.frames import Frame
 from weir.sources import envelopes
@@ -70,6 +71,16 @@ class Pipeline:
     def stateful(self) -> bool:
         return any(s.stateful for s in self.stages.values())
 
+    def dead_letters_of(self, run: Run, messages: DataFrame, max_deliver: int = 5, header_prefix: str = "") -> DataFrame | None:
+        """The envelopes, of their last delivery, of records that a stage of the run gave up on; once each, whatever the number of branches."""
+        failed = run.failed()
+        if failed is None:
+            return None
+        ids = failed.select(F.col("meta.id").alias("_failed")).distinct()
+        arrived = envelopes.arrivals(messages, self._source("tenant_prefix", "logs"), header_prefix)
+        rows = arrived.join(ids, F.col("_id") == F.col("_failed"), "left_semi").select(*messages.columns, F.col("_tenant").alias("tenant"))
+        return self.dead_letters(rows, "stage_error", max_deliver, header_prefix)
+
     def run(self, frame: Frame, share: bool = False) -> Run:
         """The pipeline's plans over a frame. share persists what several nodes read, so it is computed once for all sinks; close() the run when all is read."""
         run = Run({}, {}, {})
@@ -110,6 +121,20 @@ class Run:
         parts = [Frame(df).df.select(F.lit(node).alias("node"), F.lit(reason).alias("reason"), (F.col("record") if Frame(df).free_form else F.to_json("record")).alias("record"), "meta") for node, r in self.results.items() for reason, df in r.dropped.items()]
         return _union(parts)
 
+    def failed(self) -> DataFrame | None:
+        """(node, kind, record, meta) of every record whose stage gave up on it, records as JSON text; None where no stage can."""
+        parts = [to_free_form(Frame(df)).df.select(F.lit(node).alias("node"), F.lit(kind).alias("kind"), "record", "meta") for node, r in self.results.items() for (metric, kind), df in r.counted.items() if metric == "failed"]
+        return _union(parts) if parts else None
+
+    def traces(self, percent: float = 1.0) -> DataFrame:
+        """(trace_id, tenant, node, outcome): where records ended, for the traced share of those that arrived or were dropped, and for all that failed."""
+        ends = [(node, "out", f.df) for node, f in self.sinks.items()] + [(node, f"dropped: {reason}", df) for node, r in self.results.items() for reason, df in r.dropped.items()]
+        ident, tenant = F.col("meta.id"), F.col("meta.tenant")
+        parts = [df.filter(traces.traced(ident, tenant, percent)).select("meta", F.lit(node).alias("node"), F.lit(outcome).alias("outcome")) for node, outcome, df in ends]
+        if (failed := self.failed()) is not None:
+            parts.append(failed.select("meta", "node", F.concat(F.lit("failed: "), "kind").alias("outcome")))
+        return _union(parts).select(traces.trace_id(ident, tenant).alias("trace_id"), tenant.alias("tenant"), "node", "outcome")
+
     def ledger(self) -> DataFrame:
         """(tenant, node, metric, label, value): records in, out and dropped by reason, and other counts, for each node and tenant."""
         parts: list[tuple[str, str, str, DataFrame]] = []

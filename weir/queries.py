@@ -310,6 +310,21 @@ def script_split_lines(spark, d):
     return out(documents(spark, d), nodes, "CAST(get_json_object(record, '$.doc_id') AS BIGINT) AS doc_id", "get_json_object(record, '$.line') AS line")
 
 
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END fresh FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) stretch FROM g)
+SELECT event_id, row_number() OVER (PARTITION BY event_type, user_id, stretch ORDER BY ts, event_id) seen FROM s""")
+def script_state(spark, d):
+    """How often a user was seen with an event type, begun anew after six hours without."""
+    nodes = """
+  - id: s
+    type: script
+    source: |
+      def process(record, meta):
+          return {"event_id": record["event_id"], "seen": state.incr("user:" + str(record["user_id"]), 1, 6 * 3600 * 1000)}"""
+    return out(events(spark, d), nodes, "CAST(get_json_object(record, '$.event_id') AS BIGINT) AS event_id", "CAST(get_json_object(record, '$.seen') AS BIGINT) AS seen")
+
+
 _LEDGER = """
   - {id: f, type: filter, action: keep, condition: value > 40}
   - {id: s, type: sample, mode: every_nth, n: 2}"""

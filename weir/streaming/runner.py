@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from weir.operators.base import PASS
+from weir.operators.script import Script
 from weir.plans.config import SOURCE
 from weir.plans.frames import Frame
 from weir.plans.runtime import Pipeline, Run
@@ -30,6 +31,8 @@ def split(pipeline: Pipeline) -> tuple[list[str], Pipeline]:
     chain = [n.id for n in pipeline.nodes[: last + 1]]
     before = SOURCE
     for node in pipeline.nodes[: last + 1]:
+        if isinstance(pipeline.stages.get(node.id), Script) and pipeline.stages[node.id].stateful:
+            raise StreamError(f"node `{node.id}`: scripts with state run over tables only")
         if node.is_sink or node.type == "route" or node.reads != (before,):
             raise StreamError(f"node `{node.id}`: what comes before a stateful node must be one line of stages in a stream")
         before = node.id
