@@ -24,6 +24,12 @@ def no_python(df):
     return not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_native_operators_run_no_python(spark):
+    docs = frame(spark)
+    for df in (mixing.mix(docs), mixing.mixed(docs), sharding.hilbert_shards(docs), syncmers.with_next(docs, ["text"])):
+        assert no_python(df)
+
+
 def test_mixing(spark):
     rows = made()
     got = mixing.mix(clashing(frame(spark))).collect()

@@ -220,6 +220,26 @@ def test_near_duplicates(spark):
     assert [r.component_id for r in simhash.near_duplicates(frame(spark, [(None, "a", "", "", 0)] * 2)).collect()] == [None, None]
 
 
+def test_tries_of_many_classes_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", 2)
+    rng = random.Random(4)
+    f = set()
+    for _ in range(40):
+        base = rng.getrandbits(64)
+        f |= {base} | {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))) for _ in range(8)}
+    f = sorted(f)
+    classes = spark.createDataFrame([(simhash._signed(x),) for x in f], "fingerprint long")
+    tries = simhash.dealt(classes, 4)
+    assert tries.filter("choice >= 5").count() > 0
+    links = tries.repartition("choice", "root").sortWithinPartitions("choice", "root").mapInArrow(simhash._stars(4), "a long, b long")
+    label = {x % 2**64: least % 2**64 for x, least in components(links).collect()}
+    groups = plain_groups(np.array(f, np.uint64))
+    found = {}
+    for x, g in zip(f, groups.tolist(), strict=True):
+        found.setdefault(label.get(x, x), set()).add(g)
+    assert all(len(g) == 1 for g in found.values()) and len(found) == len(set(groups.tolist()))
+
+
 def test_tries_find_every_group():
     rng = np.random.default_rng(2)
     for _ in range(60):
@@ -427,6 +447,24 @@ def test_byte_bpe_of_tables(spark):
     assert byte_bpe.round_trips(frame(spark, [])).collect() == []
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, blanks, repeated rows and columns with clashing names pass through all stages; so does an empty table."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(k, 1, int(k % 9 == 0)) for k in range(0, 90, 3)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd = [(None, None, None, None, None), (None, "lone words here", None, None, 1), (7000, None, None, None, None), (7001, " \n ", "en", "s1", 3), (7002, "a b c", "en", "s1", 5), (7002, "a b c", "en", "s1", 5), (7002, "d e f", "en", "s1", 5)]
+    for rows in (made(30) + odd, []):
+        now = clashing(frame(spark, rows)).withColumn("key", F.lit(1)).withColumn("node", F.lit("x"))
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            made_ = stage(spark, now, str(tmp_path))
+            assert k + 1 == len(corpus_pipeline.STAGES) or made_.columns == now.columns
+            now = corpus_pipeline.cut(made_, name, keep=True)
+            if name == "near_dedup" and rows:
+                kept = [(r.doc_id, r.text) for r in now.collect()]
+                assert kept.count((7002, "a b c")) == kept.count((7002, "d e f")) == 1 and (None, "lone words here") in kept and (None, None) in kept
+        assert (now.count() > 10) == bool(rows)
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against a plain reading of it on what the stage before kept."""
     import corpus_pipeline
