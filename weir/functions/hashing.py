@@ -54,6 +54,9 @@ def fnv1a64(text: Column) -> Column:
     # made once for each text, outside of the fold: bytes as numbers
     pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
     bytes_ = F.transform(pairs, lambda pair: F.conv(pair, 16, 10).cast("long"))
+    # ASCII characters are their bytes
+    plain = (F.octet_length(text) == F.char_length(text)) & (F.char_length(text) > 0)
+    bytes_ = F.when(plain, F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))).otherwise(bytes_)
 
     # the prime is 2**40 + 0x1b3
     def step(acc: Column, byte: Column) -> Column:
