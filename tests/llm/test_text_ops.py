@@ -419,6 +419,17 @@ def test_token_pages(spark, monkeypatch):
     assert token_files.read_pages(spark, empty).collect() == []
 
 
+def test_words_are_encoded_as_the_library_does():
+    words_ = token_files.encoder(token_files.TOKENIZER)
+    assert isinstance(words_, token_files.PlainEncoder)
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    for _ in range(6000):
+        word = "".join(rng.choice(letters if rng.random() < 0.9 else letters[:52]) for _ in range(rng.randint(1, 12))) + rng.choice(["", "", ".", ",", "!", ";", "|", "..", "-x", "7"])
+        want = words_.tokenizer.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(words_.ids(word), "<u4").tolist() == want, word
+
+
 def test_byte_bpe_is_exact():
     import tiktoken
 
