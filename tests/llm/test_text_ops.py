@@ -326,68 +326,6 @@ def test_shared_backoff_is_kneser_ney(spark):
             assert shared.get(context[0] << 8 | c, p[c]) == pytest.approx(p[c])
 
 
-def test_class_models_are_kneser_ney(spark):
-    """Both class models against a plain reading of them, their sums over all next bytes, and evidence() against the sum of log-likelihoods."""
-    docs, labels = labelled(60)
-    truth, order = {k: y for k, _, y in labels}, toxicity.ORDER
-    size = 8 * (order - 1)
-    texts = [(d[1], truth[d[0]]) for d in docs if d[0] in truth]
-    rows = spark.createDataFrame(texts, "text string, toxic int").mapInArrow(toxicity._class_grams, "gram long, toxic int, n long")
-    found = toxicity.class_models(rows, toxicity.shared_backoff(frame(spark, docs)))
-    model = tuple(c.to_numpy() for t in found for c in t.orderBy("key").toArrow().columns)
-    shared = {r.low: r.p for r in toxicity.shared_backoff(frame(spark, docs)).collect()}
-
-    def grams(word):
-        padded = b" " * (order - 1) + word.lower().encode() + b" "
-        return [int.from_bytes(padded[k : k + order], "big") for k in range(len(padded) - order + 1)]
-
-    n = [Counter(), Counter()]
-    for text, y in texts:
-        n[y].update(g for w in set(words(text.lower())) for g in grams(w))
-    after = [{}, {}]
-    for y in (0, 1):
-        for g, m in n[y].items():
-            after[y].setdefault(g >> 8, {})[g] = m
-
-    def rest(y, context):
-        of = after[y].get(context)
-        return 0.75 * len(of) / sum(of.values()) if of else 1.0
-
-    def p(y, g, back):
-        of = after[y].get(g >> 8, {})
-        return max(of.get(g, 0) - 0.75, 0) / max(sum(of.values()), 1) + rest(y, g >> 8) * back
-
-    seen = sorted(set(n[0]) | set(n[1]))
-    assert model[0].tolist() == seen and model[2].tolist() == sorted({g >> 8 for g in seen})
-    assert model[1] == pytest.approx([np.log(p(1, g, shared[g % 2**size]) / p(0, g, shared[g % 2**size])) for g in seen], abs=1e-5)
-    assert model[3] == pytest.approx([np.log(rest(1, c) / rest(0, c)) for c in model[2].tolist()], abs=1e-5)
-    for context in list(after[0])[:30] + list(after[1])[:30]:
-        back = [1 / 256] * 256  # any distribution will do
-        for y in (0, 1):
-            assert sum(p(y, context << 8 | c, back[c]) for c in range(256)) == pytest.approx(1)
-    some = ["Zqx new wordless", texts[0][0], "", None, "abc " * 50]
-    total, counted = toxicity.evidence(model, pa.array(some, pa.string()))
-    for text, value, m in zip(some, total, counted, strict=True):
-        plain = [np.log(p(1, g, 1e-3) / p(0, g, 1e-3)) if g not in shared_of(n, g) else model[1][seen.index(g)] for w in words(text) for g in grams(w)]
-        assert value == pytest.approx(sum(plain), abs=1e-3) and m == len(words(text))
-
-
-def shared_of(n, g):
-    return [g] if g in n[0] or g in n[1] else []
-
-
-def test_a_text_that_says_nothing_is_ordinary():
-    rng = np.random.default_rng(1)
-    n = rng.integers(1, 400, 600)
-    y = (rng.random(600) < 0.1).astype(float)
-    total = -0.3 * n + y * 12 + rng.normal(0, 1, 600) * np.sqrt(n)
-    mean = float(total[y == 0].sum() / n[y == 0].sum())
-    weights = toxicity.fitted(toxicity.features(total, n, mean), y)
-    empty = toxicity.features(np.zeros(1), np.zeros(1, int), mean) @ weights
-    few = toxicity.fitted(toxicity.features(total[:8], n[:8], mean), np.array([1.0, 0, 0, 0, 0, 0, 0, 0]))
-    assert empty[0] < 0 and np.isfinite(few).all()
-
-
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 127, 128, 129, 1000, 5000):
